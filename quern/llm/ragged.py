@@ -166,6 +166,15 @@ def batches(it, text: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]
             yield b, _string(b.column(b.schema.get_field_index(text)))
 
 
+def member(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key is in the sorted table."""
+    if not table.size:
+        return np.zeros(keys.size, bool)
+    at = np.searchsorted(table, keys)
+    at[at == table.size] = 0
+    return table[at] == keys
+
+
 def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
     """A membership filter of fixed size: 2**bits bits, one for each hash."""
     out = np.zeros(1 << (bits - 3), np.uint8)

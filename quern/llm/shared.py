@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Arrow batches sent to Python workers hold about this many bytes; one longer row is a batch of its own.
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +33,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInArrow with batches bounded in bytes, so that a batch of very long texts fits a worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns an operator uses, so that further columns can't clash with its own."""
     missing = [c for c in columns if c not in df.columns]
