@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,9 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with batches bounded in bytes, so that a batch of very long texts fits a worker."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     conf.set(key, str(BATCH_BYTES))
+    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):  # workers import this package too
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
     return df.mapInArrow(fn, schema)
 
 
