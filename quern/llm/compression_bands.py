@@ -38,6 +38,25 @@ def measure(text: bytes, compressor, chunk_bytes: int = CHUNK_BYTES) -> tuple[fl
     return whole, [(len(c), len(c) / len(compressor.compress(c))) for c in (text[i : i + chunk_bytes] for i in range(0, len(text), chunk_bytes))]
 
 
+def judge(col: pa.Array, compressor, chunk_bytes: int, chunk_share: float, bands) -> tuple[np.ndarray, ...]:
+    """Of each text: bytes, ratio, chunks, chunks above and below their bands, and why it is rejected, if it is."""
+    n, off = len(col), ragged.offsets(col)
+    data = memoryview(col.buffers()[2] or b"")
+    size, ratio, chunks = np.diff(off), np.full(n, np.nan), []
+    for i in range(n):
+        if size[i]:
+            ratio[i], parts = measure(data[off[i] : off[i + 1]], compressor, chunk_bytes)
+            chunks += [(i, *p) for p in parts]
+    own, c_size, c_ratio = (np.array(x) for x in zip(*chunks)) if chunks else (np.empty(0, np.int64), np.empty(0), np.empty(0))
+    lo, hi = limits(c_size, bands)
+    count = lambda hit: np.bincount(own[hit].astype(np.int64), minlength=n)
+    n_chunks, above, below = count(np.ones(own.size, bool)), count(c_ratio > hi), count(c_ratio < lo)
+    lo, hi = limits(size, bands)
+    most = np.maximum(chunk_share * n_chunks, 1)
+    reason = np.select([size == 0, (ratio > hi) | (above >= most), (ratio < lo) | (below >= most)], ["empty", "repetitive", "incompressible"], "")
+    return size, ratio, n_chunks, above, below, reason
+
+
 def compression_bands(docs: DataFrame, level: int = LEVEL, chunk_bytes: int = CHUNK_BYTES, chunk_share: float = CHUNK_SHARE, bands=BANDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A verdict for each document from its zstandard ratios.
 
@@ -51,20 +70,7 @@ def compression_bands(docs: DataFrame, level: int = LEVEL, chunk_bytes: int = CH
     def work(it):
         z = zstandard.ZstdCompressor(level=level)
         for batch, col in ragged.batches(it, "text"):
-            n, off = len(col), ragged.offsets(col)
-            data = memoryview(col.buffers()[2] or b"")
-            size, ratio, chunks = np.diff(off), np.full(n, np.nan), []
-            for i in range(n):
-                if size[i]:
-                    ratio[i], parts = measure(data[off[i] : off[i + 1]], z, chunk_bytes)
-                    chunks += [(i, *p) for p in parts]
-            own, c_size, c_ratio = (np.array(x) for x in zip(*chunks)) if chunks else (np.empty(0, np.int64), np.empty(0), np.empty(0))
-            lo, hi = limits(c_size, bands)
-            count = lambda hit: np.bincount(own[hit].astype(np.int64), minlength=n)
-            n_chunks, above, below = count(np.ones(own.size, bool)), count(c_ratio > hi), count(c_ratio < lo)
-            lo, hi = limits(size, bands)
-            need_chunks = np.maximum(chunk_share * n_chunks, 1)
-            reason = np.select([size == 0, (ratio > hi) | (above >= need_chunks), (ratio < lo) | (below >= need_chunks)], ["empty", "repetitive", "incompressible"], "")
+            size, ratio, n_chunks, above, below, reason = judge(col, z, chunk_bytes, chunk_share, bands)
             kept = reason == ""
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(size), pa.array(ratio, mask=size == 0), pa.array(n_chunks), pa.array(above), pa.array(below), pa.array(kept), pa.array(reason.astype(object), pa.string(), mask=kept)],
@@ -74,6 +80,17 @@ def compression_bands(docs: DataFrame, level: int = LEVEL, chunk_bytes: int = CH
     return map_arrow(need(docs, key, text).toDF("doc_id", "text"), work, SCHEMA)
 
 
+def within_bands(docs: DataFrame, level: int = LEVEL, chunk_bytes: int = CHUNK_BYTES, chunk_share: float = CHUNK_SHARE, bands=BANDS, text: str = "text") -> DataFrame:
+    """The rows that `compression_bands` keeps, with all their columns, in the same single pass."""
+
+    def work(it):
+        z = zstandard.ZstdCompressor(level=level)
+        for batch, col in ragged.batches(it, text):
+            yield batch.filter(pa.array(judge(col, z, chunk_bytes, chunk_share, bands)[-1] == ""))
+
+    return map_arrow(docs, work, docs.schema)
+
+
 def op7_compression_bands(spark, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 

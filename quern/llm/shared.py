@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Arrow batches sent to Python workers hold about this many bytes; one longer row is a batch of its own.
@@ -51,3 +52,13 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df.select(*columns)
+
+
+#: Up to so many ids are sent to every executor; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not in `ids`; a null doc_id stays."""
+    ids = materialize(ids.select("doc_id").where("doc_id is not null").dropDuplicates(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
