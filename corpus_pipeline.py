@@ -1,12 +1,58 @@
-"""A corpus pipeline of five stages."""
+"""A training corpus from documents: quality rules, near duplicates, decontamination, PII, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
+as the next one's docs.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from quern.llm import registry  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm.compression_bands import within_bands
+from quern.llm.ngram_join import ngram_jaccard_join
+from quern.llm.pattern_packing import pack
+from quern.llm.pii_crf import redact
+from quern.llm.shared import materialize, table, without_ids
+from quern.llm.template_decontamination import contaminated
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents inside the compression bands for their length."""
+    return within_bands(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group that the n-gram join connects."""
+    pairs = ngram_jaccard_join(docs)
+    member = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id"), "group_id")
+    return without_ids(docs, member.where("doc_id != group_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, word for word or re-parameterised."""
+    return without_ids(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and secrets replaced by the names of their kinds."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin and slot of every piece of every document."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("private_data", private_data), ("packing", packing)]
 
-STAGES: list = []
+#: No stage but the first filters can be told in SQL (zstandard ratios, a trained field, fitted patterns).
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
