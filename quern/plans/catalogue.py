@@ -1,6 +1,569 @@
-"""Named queries over the driver's tables, with SQL for an independent engine."""
+"""Named queries over the driver's tables, with SQL for an independent engine.
+
+Every query runs over its whole tables; a limit is only where the operator is a top-k.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions.query import Condition, Filter, SynonymMap, meta, passes
+from quern.functions.text import STOP_WORDS, Analyzer, fold_full
+from quern.operators import kv, lexical, vector
+from quern.operators.lexical import Bm25, FieldIndex, Index
+
+WORDS = Analyzer("whitespace")
+GRAMS = Analyzer("ngram")
+TTL, NOW, SNAPSHOT_SHARE = 10 * 86400, 1706000000, 2
+FILE_WRITES = 500
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a collection: ord, text, meta."""
+    d = _read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("ord"), "text", meta(lang=(F.col("lang"), "str"), source=(F.col("source"), "str"), n_chars=(F.col("n_chars"), "int")).alias("meta"))
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a log: a user's last event is the user's state, an error deletes it."""
+    e = _read(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.unix_timestamp("ts").alias("tstamp"), (F.col("event_type") == "error").alias("is_tombstone"),
+        (F.col("event_id") / FILE_WRITES).cast("bigint").alias("file_id"), "event_type", "value", "props",
+    )
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as a collection: ord, vector, meta."""
+    e = _read(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"), meta(label=(F.col("label"), "int")).alias("meta"))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as documents with a field for each role."""
+    c = _read(spark, sf_dir, "conversations")
+    role = c.groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), " ").alias("value"))
+    return role.groupBy(F.col("conv_id").alias("ord")).agg(F.array_sort(F.collect_list(F.struct(F.col("role").alias("name"), "value"))).alias("fields"))
+
+
+def _index(spark, sf_dir, analyzer=WORDS) -> Index:
+    return Index.of(documents(spark, sf_dir), analyzer)
+
+
+def _query_vector(spark, sf_dir, vec_id: int = 7) -> list[float]:
+    """One vector by its id, the argument of a search."""
+    row = _read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
+    return [float(x) for x in row[0]]
+
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- keyed records ----------------------------------------------------------------------------------------
+
+_LOG = f"""log AS (SELECT user_id AS key, event_id AS ord, CAST(floor(epoch(ts)) AS BIGINT) AS tstamp, event_type = 'error' AS is_tombstone,
+  CAST(floor(event_id / {FILE_WRITES}) AS BIGINT) AS file_id, event_type, value, props FROM events)"""
+_LAST = "last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord DESC) = 1)"
+_KV = ("key", "ord", "tstamp", "event_type", "value")
+
+
+@query(f"WITH {_LOG}, {_LAST} SELECT key, ord, tstamp, event_type, value FROM last WHERE NOT is_tombstone")
+def kv_latest(spark, d):
+    return kv.latest(event_log(spark, d)).select(*_KV)
+
+
+@query(f"WITH {_LOG}, {_LAST} SELECT key, ord, is_tombstone FROM last")
+def kv_with_tombstones(spark, d):
+    return kv.latest(event_log(spark, d), see_tombstones=True).select("key", "ord", "is_tombstone")
+
+
+@query(f"WITH {_LOG}, {_LAST} SELECT key, ord, tstamp, event_type, value FROM last WHERE NOT is_tombstone AND key IN (3, 14, 15, 92)")
+def kv_get(spark, d):
+    return kv.get(event_log(spark, d), [3, 14, 15, 92]).select(*_KV)
+
+
+@query(f"""WITH {_LOG}, upto AS (SELECT * FROM log WHERE ord <= (SELECT max(ord) // {SNAPSHOT_SHARE} FROM log)),
+last AS (SELECT * FROM upto QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord DESC) = 1)
+SELECT key, ord, tstamp, event_type, value FROM last WHERE NOT is_tombstone""")
+def kv_snapshot_asof(spark, d):
+    log = event_log(spark, d)
+    top = log.agg(F.max("ord")).first()[0] or 0
+    return kv.latest(log, snapshot=top // SNAPSHOT_SHARE).select(*_KV)
+
+
+@query(f"WITH {_LOG}, {_LAST} SELECT key, ord, tstamp, event_type, value FROM last WHERE NOT is_tombstone AND tstamp + {TTL} > {NOW}")
+def kv_ttl_scan(spark, d):
+    return kv.latest(event_log(spark, d)).where(kv.alive(NOW, TTL)).select(*_KV)
+
+
+@query(f"""WITH {_LOG}, {_LAST}, t AS (SELECT count(*) AS n_writes, CAST(coalesce(sum(is_tombstone::INT), 0) AS BIGINT) AS n_tombstones, max(ord) AS last_ord FROM log),
+l AS (SELECT count(*) AS live_keys FROM last WHERE NOT is_tombstone) SELECT *, (n_writes - live_keys) * 100 // n_writes AS dead_doc_rate FROM t, l""")
+def kv_status(spark, d):
+    return kv.status(event_log(spark, d))
+
+
+@query(f"WITH {_LOG}, {_LAST} SELECT CAST(length(CAST(key AS VARCHAR)) AS BIGINT) AS key_length, count(*) AS n_keys FROM last WHERE NOT is_tombstone GROUP BY 1")
+def key_length_histogram(spark, d):
+    return kv.key_length_histogram(event_log(spark, d))
+
+
+_FILES = f"""WITH {_LOG}, {_LAST}, m AS (SELECT l.*, CAST(24 + length(l.props) AS BIGINT) AS size, NOT l.is_tombstone AND l.ord = x.ord AS live FROM log l JOIN last x USING (key)),
+f AS (SELECT file_id, count(*) AS total_keys, CAST(sum(live::INT) AS BIGINT) AS live_keys, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(CASE WHEN live THEN size ELSE 0 END) AS BIGINT) AS live_bytes,
+  min(tstamp) AS oldest, max(tstamp) AS newest FROM m GROUP BY 1),
+s AS (SELECT *, total_bytes - live_bytes AS dead_bytes, 100 - live_keys * 100 // total_keys AS fragmented FROM f)"""
+
+
+def _stats(spark, d) -> DataFrame:
+    return kv.file_stats(event_log(spark, d), 24 + F.length("props"))
+
+
+_POLICY = kv.Policy(frag_merge_trigger=60, frag_threshold=99, dead_bytes_threshold=0x7FFFFFFF, small_file_threshold=17000)
+
+
+@query(_FILES + " SELECT * FROM s")
+def file_stats(spark, d):
+    return _stats(spark, d)
+
+
+@query(_FILES + " SELECT file_id, total_bytes, fragmented FROM s WHERE (SELECT max(fragmented) FROM s) >= 60 AND (fragmented >= 99 OR total_bytes < 17000)")
+def merge_decide(spark, d):
+    return kv.merge_candidates(_stats(spark, d), _POLICY).select("file_id", "total_bytes", "fragmented")
+
+
+@query(_FILES + " SELECT file_id, total_bytes FROM (SELECT *, sum(total_bytes) OVER (ORDER BY file_id) AS so_far FROM s) WHERE so_far <= 100000")
+def cap_size(spark, d):
+    return kv.cap_size(_stats(spark, d), 100_000).select("file_id", "total_bytes")
+
+
+@query(f"WITH {_LOG}, {_LAST} SELECT key, ord, tstamp, file_id, event_type FROM last WHERE NOT is_tombstone")
+def merge_live(spark, d):
+    return kv.merge(event_log(spark, d)).select("key", "ord", "tstamp", "file_id", "event_type")
+
+
+# -- metadata ---------------------------------------------------------------------------------------------
+
+
+def _where(spark, d, f) -> DataFrame:
+    return documents(spark, d).where(passes(f, F.col("meta"))).select("ord")
+
+
+_ID = "SELECT doc_id AS ord FROM documents WHERE "
+
+
+@query(_ID + "lang = 'de'")
+def meta_eq(spark, d):
+    return _where(spark, d, Condition("lang", "eq", "de"))
+
+
+@query(_ID + "lang IS DISTINCT FROM 'en'")
+def meta_neq(spark, d):
+    return _where(spark, d, Condition("lang", "neq", "en"))
+
+
+@query(_ID + "n_chars >= 500 AND n_chars < 2000")
+def meta_range(spark, d):
+    return _where(spark, d, Filter((Condition("n_chars", "gte", 500), Condition("n_chars", "lt", 2000))))
+
+
+@query(_ID + "source IN ('src1', 'src2', 'src7')")
+def meta_in(spark, d):
+    return _where(spark, d, Condition("source", "in", ("src1", "src2", "src7")))
+
+
+@query(_ID + "lang IS NOT NULL")
+def meta_exists(spark, d):
+    return _where(spark, d, Condition("lang", "exists"))
+
+
+@query(_ID + "(lang = 'fr' OR lang = 'es') AND n_chars > 3000")
+def meta_and_or(spark, d):
+    return _where(spark, d, Filter((Filter((Condition("lang", "eq", "fr"), Condition("lang", "eq", "es")), "or"), Condition("n_chars", "gt", 3000))))
+
+
+@query(_ID + "FALSE")
+def meta_type_strict(spark, d):
+    """An integer never equals a float or a string."""
+    return _where(spark, d, Filter((Condition("n_chars", "eq", 1000.0), Condition("n_chars", "gt", 1.0), Condition("lang", "gt", 3)), "or"))
+
+
+# -- analysis ---------------------------------------------------------------------------------------------
+
+_FOLD = "replace(lower(text), 'ß', 'ss')"
+_TOK = f"""tok AS (SELECT ord, unnest(w) AS term, unnest(range(len(w))) AS pos FROM
+  (SELECT doc_id AS ord, list_filter(string_split_regex({_FOLD}, '\\s+'), lambda x: x <> '') AS w FROM documents))"""
+#: characters that part words in the n-gram analyzer, for Latin text
+_PART = "[\\s!-/:-@\\[-`{-~　-〿＀-／：-＠［-｀｛-･‐-‧‰-⁞]+"
+_GRAM = f"""tok AS (SELECT ord, unnest(w) AS term, unnest(range(len(w))) AS pos FROM
+  (SELECT doc_id AS ord, list_filter(string_split_regex({_FOLD}, '{_PART}'), lambda x: x <> '') AS w FROM documents))"""
+
+
+def _tokens(spark, d, analyzer) -> DataFrame:
+    return _index(spark, d, analyzer).exploded().select("ord", "term", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query(f"WITH {_TOK} SELECT ord, term, pos FROM tok")
+def analyze_whitespace(spark, d):
+    return _tokens(spark, d, WORDS)
+
+
+@query(f"WITH {_GRAM} SELECT ord, term, pos FROM tok")
+def analyze_ngram(spark, d):
+    return _tokens(spark, d, GRAMS)
+
+
+@query(f"WITH {_TOK} SELECT ord, term, count(*) AS tf, CAST(list(pos ORDER BY pos) AS VARCHAR) AS positions FROM tok GROUP BY 1, 2")
+def analyze_positions(spark, d):
+    p = _index(spark, d).positions()
+    return p.select("ord", "term", "tf", F.concat(F.lit("["), F.array_join(F.col("positions").cast("array<string>"), ", "), F.lit("]")).alias("positions"))
+
+
+@query(f"WITH {_TOK} SELECT ord, term, pos FROM tok WHERE length(term) >= 4")
+def min_token_length(spark, d):
+    return _tokens(spark, d, Analyzer("whitespace", min_token_length=4))
+
+
+@query(f"WITH {_GRAM} SELECT ord, term, pos FROM tok WHERE term NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})")
+def stop_words(spark, d):
+    return _tokens(spark, d, Analyzer("ngram", stop_words=STOP_WORDS))
+
+
+@query(f"SELECT doc_id AS ord, {_FOLD} AS folded FROM documents")
+def nfkc_fold(spark, d):
+    return documents(spark, d).select("ord", fold_full("text").alias("folded"))
+
+
+@query(f"WITH {_TOK} SELECT count(DISTINCT doc_id) AS n_docs, (SELECT count(*) FROM tok) AS sum_dl FROM documents")
+def field_stats(spark, d):
+    return _index(spark, d).field_stats()
+
+
+@query(f"WITH {_TOK} SELECT term, count(DISTINCT ord) AS df FROM tok GROUP BY 1")
+def term_df(spark, d):
+    return _index(spark, d).term_stats()
+
+
+@query(f"WITH {_TOK}, dl AS (SELECT ord, count(*) AS dl FROM tok GROUP BY 1) SELECT term, ord, dl, count(*) AS tf FROM tok JOIN dl USING (ord) GROUP BY 1, 2, 3")
+def postings_tf(spark, d):
+    return _index(spark, d).postings()
+
+
+# -- lexical search ---------------------------------------------------------------------------------------
+
+
+def _bm25(terms: str, tok: str = _TOK, k1=1.2, b=0.75, delta=0.0, more: str = "") -> str:
+    """scored(ord, term, c): contributions of `terms`, an SQL list of words."""
+    return f"""{tok}, dl AS (SELECT doc_id AS ord, coalesce(n, 0) AS dl FROM documents LEFT JOIN (SELECT ord, count(*) AS n FROM tok GROUP BY 1) t ON t.ord = doc_id),
+st AS (SELECT count(*) AS n, CAST(sum(dl) AS DOUBLE) / count(*) AS avgdl FROM dl),
+tfs AS (SELECT ord, term, count(*) AS tf FROM tok WHERE term IN {terms} GROUP BY 1, 2), dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY 1),
+scored AS (SELECT ord, term, tf, df, dl, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl)) + {delta}) AS c
+  FROM tfs JOIN dfs USING (term) JOIN dl USING (ord), st){more}"""
+
+
+def _top(source: str, k: int = 10, cols: str = "ord, score") -> str:
+    return f"SELECT {cols}, CAST(row_number() OVER (ORDER BY score DESC, ord DESC) AS INTEGER) AS rank FROM ({source}) ORDER BY score DESC, ord DESC LIMIT {k}"
+
+
+_SUM = "SELECT ord, round(sum(c), 6) AS score FROM scored GROUP BY 1"
+Q1, Q1_SQL = "tion inthe erble the", "('tion', 'inthe', 'erble', 'the')"
+
+
+@query(f"WITH {_bm25(Q1_SQL)} {_top(_SUM)}")
+def search_text(spark, d):
+    return lexical.search_text(_index(spark, d), Q1).drop("query_id")
+
+
+@query(f"WITH {_bm25(Q1_SQL, tok=_GRAM)} {_top(_SUM)}")
+def search_text_ngram(spark, d):
+    return lexical.search_text(_index(spark, d, GRAMS), Q1).drop("query_id")
+
+
+@query(f"WITH {_bm25(Q1_SQL, delta=1.0)} {_top(_SUM)}")
+def search_text_bm25plus(spark, d):
+    return lexical.search_text(_index(spark, d), Q1, params=Bm25(delta=1.0)).drop("query_id")
+
+
+@query(f"WITH {_bm25(Q1_SQL, k1=2.0, b=0.3)} {_top(_SUM, 25)}")
+def search_text_k1b(spark, d):
+    return lexical.search_text(_index(spark, d), Q1, 25, Bm25(2.0, 0.3)).drop("query_id")
+
+
+@query(f"WITH {_bm25(Q1_SQL)} {_top('SELECT s.* FROM (' + _SUM + ') s JOIN documents ON doc_id = ord WHERE n_chars < 2000')}")
+def search_text_filtered_pre(spark, d):
+    return lexical.search_text(_index(spark, d), Q1, where=Condition("n_chars", "lt", 2000)).drop("query_id")
+
+
+@query(f"WITH {_bm25(Q1_SQL)} {_top('SELECT s.* FROM (' + _SUM + ' ORDER BY score DESC, ord DESC LIMIT 64) s JOIN documents ON doc_id = ord WHERE n_chars < 2000')}")
+def search_text_filtered_post(spark, d):
+    return lexical.search_text(_index(spark, d), Q1, where=Condition("n_chars", "lt", 2000), filter_mode="post").drop("query_id")
+
+
+@query(f"WITH {_bm25('(' + chr(39) + 'tion' + chr(39) + ', ' + chr(39) + 'der' + chr(39) + ', ' + chr(39) + 'las' + chr(39) + ')')} {_top(_SUM)}")
+def search_text_synonym(spark, d):
+    s = SynonymMap()
+    s.add_group(["tion", "der", "las"])
+    return lexical.search_text(_index(spark, d), "tion", synonyms=s).drop("query_id")
+
+
+_BATCH = f"""WITH {_TOK}, q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex({_FOLD}, '\\s+'), lambda x: x <> '')) AS term FROM benchmark),
+dl AS (SELECT doc_id AS ord, coalesce(n, 0) AS dl FROM documents LEFT JOIN (SELECT ord, count(*) AS n FROM tok GROUP BY 1) t ON t.ord = doc_id),
+st AS (SELECT count(*) AS n, CAST(sum(dl) AS DOUBLE) / count(*) AS avgdl FROM dl),
+tfs AS (SELECT ord, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY 1),
+scored AS (SELECT query_id, ord, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score FROM tfs JOIN dfs USING (term) JOIN dl USING (ord) JOIN q USING (term), st GROUP BY 1, 2)
+SELECT query_id, ord, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord DESC) AS INTEGER) AS rank FROM scored QUALIFY rank <= 10"""
+
+
+@query(_BATCH)
+def search_text_batch(spark, d):
+    """Every benchmark item as a query, in one job."""
+    q = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return lexical.search_text(_index(spark, d), q)
+
+
+def _near(slop: int) -> str:
+    terms = "('of', 'the')"
+    starts = f"starts AS (SELECT a.ord, count(DISTINCT a.pos) AS tf FROM tok a JOIN tok b ON a.ord = b.ord AND a.term = 'of' AND b.term = 'the' AND b.pos > a.pos AND b.pos <= a.pos + 1 + {slop} GROUP BY 1)"
+    score = "SELECT ord, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * (s.tf * 2.2 / (s.tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM starts s JOIN dl USING (ord), st, (SELECT df FROM dfs WHERE term = 'of')"
+    return f"WITH {_bm25(terms, more=', ' + starts)} {_top(score)}"
+
+
+@query(_near(0))
+def search_phrase(spark, d):
+    return lexical.search_phrase(_index(spark, d), "of the")
+
+
+@query(_near(2))
+def search_near_slop2(spark, d):
+    return lexical.search_near(_index(spark, d), "of the", 2)
+
+
+def _bool(must: str, should: str, must_not: str) -> str:
+    every = "(" + ", ".join(x for x in (must, should, must_not) if x) + ")"
+    hit = lambda words: f"count(*) FILTER (WHERE term IN ({words}))" if words else "0"
+    wanted = f"{hit(must)} = {must.count(',') + 1}" if must else f"{hit(should)} > 0"
+    good = ", ".join(x for x in (must, should) if x)
+    return f"WITH {_bm25(every)} " + _top(f"SELECT ord, round(coalesce(sum(c) FILTER (WHERE term IN ({good})), 0), 6) AS score FROM scored GROUP BY 1 HAVING {wanted} AND {hit(must_not)} = 0")
+
+
+@query(_bool("'the', 'tion'", "", ""))
+def bool_must(spark, d):
+    return lexical.bool_search(_index(spark, d), "+the +tion")
+
+
+@query(_bool("", "'tion', 'der', 'las'", ""))
+def bool_should(spark, d):
+    return lexical.bool_search(_index(spark, d), "tion der las")
+
+
+@query(_bool("", "'tion', 'der'", "'the'"))
+def bool_must_not(spark, d):
+    return lexical.bool_search(_index(spark, d), "tion der -the")
+
+
+@query(_bool("'the'", "'tion', 'erble'", "'of'"))
+def bool_mixed(spark, d):
+    return lexical.bool_search(_index(spark, d), "+the tion erble -of")
+
+
+@query(f"WITH {_bm25('(SELECT DISTINCT term FROM tok WHERE levenshtein(term, ' + chr(39) + 'erble' + chr(39) + ') <= 1)')} {_top(_SUM)}")
+def search_fuzzy_1(spark, d):
+    return lexical.search_fuzzy(_index(spark, d), "erble", 1)
+
+
+@query(f"WITH {_bm25('(SELECT DISTINCT term FROM tok WHERE levenshtein(term, ' + chr(39) + 'aneauelle' + chr(39) + ') <= 2)')} {_top(_SUM)}")
+def search_fuzzy_2(spark, d):
+    return lexical.search_fuzzy(_index(spark, d), "aneauelle", 2)
+
+
+def _glob(pattern: str) -> str:
+    return f"WITH {_bm25(f'(SELECT DISTINCT term FROM tok WHERE term GLOB {chr(39)}{pattern}{chr(39)})')} {_top(_SUM)}"
+
+
+@query(_glob("ther*"))
+def search_wildcard_prefix(spark, d):
+    return lexical.search_wildcard(_index(spark, d), "ther*")
+
+
+@query(_glob("*bleth"))
+def search_wildcard_suffix(spark, d):
+    return lexical.search_wildcard(_index(spark, d), "*bleth")
+
+
+@query(_glob("th*ble"))
+def search_wildcard_infix(spark, d):
+    return lexical.search_wildcard(_index(spark, d), "th*ble")
+
+
+@query(_glob("th?n"))
+def search_wildcard_qmark(spark, d):
+    return lexical.search_wildcard(_index(spark, d), "th?n")
+
+
+_FIELDS = f"""WITH f AS (SELECT conv_id AS ord, role AS field, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY 1, 2),
+tok AS (SELECT ord, field, unnest(list_filter(string_split_regex({_FOLD}, '\\s+'), lambda x: x <> '')) AS term FROM f),
+dl AS (SELECT ord, count(*) AS dl FROM tok GROUP BY 1),
+ft AS (SELECT ord, field, term FROM tok UNION ALL SELECT ord, 'default', term FROM tok),
+docs AS (SELECT ord, field FROM f UNION SELECT DISTINCT ord, 'default' FROM f),
+st AS (SELECT d.field, count(DISTINCT d.ord) AS n, (SELECT count(*) FROM ft WHERE ft.field = d.field) / CAST(count(DISTINCT d.ord) AS DOUBLE) AS avgdl FROM docs d GROUP BY 1),
+q(word, field, term, boost) AS (VALUES (0, 'user', 'the', 2.0), (1, 'assistant', 'of', 1.0), (2, 'default', 'tion', 1.0)),
+tfs AS (SELECT field, term, ord, count(*) AS tf FROM ft JOIN q USING (field, term) GROUP BY 1, 2, 3), dfs AS (SELECT field, term, count(*) AS df FROM tfs GROUP BY 1, 2),
+s AS (SELECT word, ord, boost, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tfs JOIN dfs USING (field, term) JOIN st USING (field) JOIN dl USING (ord) JOIN q USING (field, term)),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, ord DESC) <= 10) """
+
+
+@query(_FIELDS + _top("SELECT ord, round(sum(score * boost), 6) AS score FROM best GROUP BY 1"))
+def search_fields_boost(spark, d):
+    return FieldIndex(conversations(spark, d), WORDS).search("user:the^2 assistant:of tion")
+
+
+_EXPLAIN_SQL = f"""WITH {_bm25("('the', 'tion', 'nowhere')")}, q(term) AS (VALUES ('the'), ('tion'), ('nowhere')),
+own AS (SELECT q.term, coalesce((SELECT df FROM dfs WHERE dfs.term = q.term), 0) AS df, coalesce((SELECT tf FROM tfs WHERE tfs.term = q.term AND ord = 1), 0) AS tf FROM q),
+x AS (SELECT term, df, tf, CASE WHEN df > 0 THEN ln(1 + (n - df + 0.5) / (df + 0.5)) ELSE 0.0 END AS idf, CASE WHEN tf > 0 THEN tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0.0 END AS norm FROM own, st, (SELECT dl FROM dl WHERE ord = 1))
+SELECT term, df, round(idf, 6) AS idf, tf, round(norm, 6) AS tf_norm, round(CASE WHEN tf > 0 THEN idf * norm ELSE 0.0 END, 6) AS contribution FROM x"""
+
+
+@query(_EXPLAIN_SQL)
+def explain_terms(spark, d):
+    return lexical.explain(_index(spark, d), "the tion nowhere", 1)
+
+
+@query()
+def stemmed_search(spark, d):
+    return lexical.search_text(_index(spark, d, Analyzer("whitespace", stemming=True)), Q1).drop("query_id")
+
+
+@query()
+def highlight(spark, d):
+    docs = documents(spark, d)
+    h = lexical.search_text_highlight(Index.of(docs, WORDS), docs, Q1)
+    return h.select("ord", "score", "rank", F.to_json("highlights").alias("highlights"))
+
+
+# -- vectors ----------------------------------------------------------------------------------------------
+
+_Q = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 7)"
+_V = "v AS (SELECT vec_id AS ord, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+def _vec(score: str, where: str = "TRUE", k: int = 10) -> str:
+    return f"WITH {_Q}, {_V}, s AS (SELECT ord, round({score}, 6) AS score FROM v, q WHERE {where}) SELECT ord, score, CAST(row_number() OVER (ORDER BY score DESC, ord) AS INTEGER) AS rank FROM s ORDER BY score DESC, ord LIMIT {k}"
+
+
+@query(_vec("list_dot_product(v, q)"))
+def vector_dot(spark, d):
+    return vector.search_vector(embeddings(spark, d), _query_vector(spark, d), metric="dot")
+
+
+@query(_vec("list_cosine_similarity(v, q)"))
+def vector_cosine(spark, d):
+    return vector.search_vector(embeddings(spark, d), _query_vector(spark, d))
+
+
+@query(_vec("0.0 - list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - q[i]) * (v[i] - q[i])))"))
+def vector_l2(spark, d):
+    return vector.search_vector(embeddings(spark, d), _query_vector(spark, d), metric="l2")
+
+
+@query(_vec("list_cosine_similarity(v, q)", "label = 3"))
+def vector_filtered(spark, d):
+    return vector.search_vector(embeddings(spark, d), _query_vector(spark, d), where=Condition("label", "eq", 3))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS ord, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS score FROM v a, v b)
+SELECT query_id, ord, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
+def vector_batch(spark, d):
+    """Every vector as a query."""
+    v = embeddings(spark, d)
+    return vector.search_vector_batch(v, v.select(F.col("ord").alias("query_id"), "vector"))
+
+
+_CODES = "list_transform(v, lambda x: CAST(greatest(-127, least(127, round(x / list_max(list_transform(v, lambda y: abs(y))) * 127))) AS INTEGER))"
+
+
+@query(f"WITH {_V} SELECT ord, round(list_max(list_transform(v, lambda y: abs(y))), 6) AS scale, CAST({_CODES} AS VARCHAR) AS codes FROM v")
+def int8_quantize(spark, d):
+    q = embeddings(spark, d).select("ord", vector.quantize(F.col("vector")).alias("q"))
+    return q.select("ord", F.round("q.scale", 6).alias("scale"), F.concat(F.lit("["), F.array_join(F.col("q.codes").cast("array<string>"), ", "), F.lit("]")).alias("codes"))
+
+
+@query(_vec("list_dot_product(v, q)"))
+def int8_rerank(spark, d):
+    return vector.search_vector_int8(embeddings(spark, d), _query_vector(spark, d))
+
+
+# -- hybrid -----------------------------------------------------------------------------------------------
+
+
+def _hybrid_sql(text: bool, vec: bool, where: str = "TRUE", k: int = 10) -> str:
+    kk = vector.candidates(k)
+    ok = f"(SELECT doc_id FROM documents WHERE {where})"
+    legs = []
+    if text:
+        legs.append(f"SELECT ord, row_number() OVER (ORDER BY score DESC, ord DESC) AS rank FROM ({_SUM}) WHERE ord IN {ok} QUALIFY rank <= {kk}")
+    if vec:
+        legs.append(f"SELECT ord, row_number() OVER (ORDER BY score DESC, ord) AS rank FROM (SELECT ord, round(list_cosine_similarity(v, q), 6) AS score FROM v, q) WHERE ord IN {ok} QUALIFY rank <= {kk}")
+    fused = "SELECT ord, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (" + " UNION ALL ".join(f"({x})" for x in legs) + ") GROUP BY 1"
+    return f"WITH {_bm25(Q1_SQL)}, {_Q}, {_V} SELECT ord, score, CAST(row_number() OVER (ORDER BY score DESC, ord) AS INTEGER) AS rank FROM ({fused}) ORDER BY score DESC, ord LIMIT {k}"
+
+
+def _hybrid(spark, d, text: bool, vec: bool, where=None, k: int = 10) -> DataFrame:
+    """Text of documents and vectors of embeddings with the same id."""
+    docs, legs = documents(spark, d), []
+    if text:
+        legs.append(lexical.search_text(Index.of(docs, WORDS), Q1, vector.candidates(k), where=where))
+    if vec:
+        both = embeddings(spark, d).select("ord", "vector").join(docs.select("ord", "meta"), "ord")
+        legs.append(vector.search_vector(both, _query_vector(spark, d), vector.candidates(k), where=where))
+    return vector.fuse(legs, k)
+
+
+@query(_hybrid_sql(True, True))
+def hybrid_rrf(spark, d):
+    return _hybrid(spark, d, True, True)
+
+
+@query(_hybrid_sql(True, False))
+def hybrid_text_only(spark, d):
+    return _hybrid(spark, d, True, False)
+
+
+@query(_hybrid_sql(False, True))
+def hybrid_vec_only(spark, d):
+    return _hybrid(spark, d, False, True)
+
+
+@query(_hybrid_sql(True, True, "lang = 'en'"))
+def hybrid_filtered(spark, d):
+    return _hybrid(spark, d, True, True, Condition("lang", "eq", "en"))
+
+
+_HYBRID_BATCH = _BATCH.replace("SELECT query_id, ord, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord DESC) AS INTEGER) AS rank FROM scored QUALIFY rank <= 10", "").rstrip() + """,
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+t AS (SELECT query_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord DESC) AS rank FROM scored QUALIFY rank <= 64),
+e AS (SELECT a.vec_id AS query_id, b.vec_id AS ord, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.vec_id) AS rank FROM v a JOIN benchmark ON item_id = a.vec_id, v b QUALIFY rank <= 64),
+h AS (SELECT query_id, ord, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM t UNION ALL SELECT * FROM e) GROUP BY 1, 2)
+SELECT query_id, ord, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS INTEGER) AS rank FROM h QUALIFY rank <= 10"""
+
+
+@query(_HYBRID_BATCH)
+def hybrid_batch(spark, d):
+    """Every benchmark item with the vector of the same id, in one job."""
+    b = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    v = embeddings(spark, d)
+    legs = [lexical.search_text(_index(spark, d), b, vector.candidates(10)), vector.search_vector_batch(v, v.select(F.col("ord").alias("query_id"), "vector").join(b.select("query_id"), "query_id", "left_semi"), vector.candidates(10))]
+    return vector.fuse(legs, 10, ["query_id"])
