@@ -11,13 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in slices of about this many bytes, which bounds a worker's memory.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -30,20 +29,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    out = []
-    for base in (_BASE, _INV):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    return _powers(max(16, int(n).bit_length()))
+    """At least the first n powers of the base and of its inverse; one pair of tables serves all sizes."""
+    if _POWERS[0].size < n:
+        for i, base in enumerate((_BASE, _INV)):
+            p = np.full(1 << max(16, int(n).bit_length()), base, np.uint64)
+            p[0] = 1
+            _POWERS[i] = np.cumprod(p, dtype=np.uint64)
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 #: Arrow batches sent to Python workers hold about this many bytes; one longer row is a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
