@@ -77,11 +77,11 @@ class Index:
     def exploded(self) -> DataFrame:
         return self.tokens.select("ord", "dl", F.explode("tokens").alias("t")).select("ord", "dl", "t.term", "t.pos")
 
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+    def postings(self, terms: Terms | None = None) -> DataFrame:
         """(term, ord, dl, tf), of these terms or of all; one aggregation after a map-side combine."""
         rows = self.exploded()
         if terms is not None:
-            rows = rows.join(_small(terms.select("term").distinct()), "term")
+            rows = rows.join(_small(terms.table.select("term").distinct(), terms.n), "term")
         return rows.groupBy("term", "ord", "dl").agg(F.count("*").alias("tf"))
 
     def positions(self) -> DataFrame:
@@ -97,9 +97,30 @@ class Index:
         return df.crossJoin(F.broadcast(stats))  # one row
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if the optimizer doesn't know better and the table is of checked size."""
-    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+def _small(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Broadcast a table of known or counted size if that is within bounds."""
+    return F.broadcast(df) if (df.count() if n is None else n) <= BROADCAST_TERMS else df
+
+
+#: Rows up to this many become literals of the plan; more are sent as a table.
+LITERAL_ROWS = 2_000
+
+
+def local(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows that the driver holds, without Python workers on the way."""
+    if not rows or len(rows) > LITERAL_ROWS:
+        return spark.createDataFrame(rows, schema)
+    fields = [f.split() for f in schema.split(", ")]
+    one = lambda r: F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(r, fields)])
+    return spark.range(1).select(F.explode(F.array(*map(one, rows))).alias("r")).select("r.*")
+
+
+@dataclass(frozen=True)
+class Terms:
+    """Query terms (query_id, term), and how many there are if that is known."""
+
+    table: DataFrame
+    n: int | None = None
 
 
 def _stemmed(tokens: DataFrame, docs: DataFrame, analyzer: Analyzer) -> DataFrame:
@@ -112,29 +133,29 @@ def _stemmed(tokens: DataFrame, docs: DataFrame, analyzer: Analyzer) -> DataFram
     return kept.select("ord", F.transform("s", lambda x: F.struct(x.term.alias("term"), x.pos.alias("pos"))).alias("tokens"))
 
 
-def query_terms(index: Index, queries: dict | str | DataFrame, synonyms: SynonymMap | None = None) -> DataFrame:
+def query_terms(index: Index, queries: dict | str | DataFrame, synonyms: SynonymMap | None = None) -> Terms:
     """(query_id, term), distinct, of one query (id 0), a dict of queries, or a table (query_id, text)."""
     spark = index.tokens.sparkSession
     if isinstance(queries, DataFrame):
         rows = queries.select("query_id", F.explode(unstemmed(index.analyzer).tokens(F.col("text"))).alias("t")).select("query_id", "t.term").distinct()
-        return rows.select("query_id", stem("term").alias("term")).distinct() if index.analyzer.stemming else rows
+        return Terms(rows.select("query_id", stem("term").alias("term")).distinct() if index.analyzer.stemming else rows)
     queries = {0: queries} if isinstance(queries, str) else queries
     rows = []
     for q, text in queries.items():
         terms = list(dict.fromkeys(t for t, _ in index.analyzer(text)))
         rows += [(q, t) for t in (synonyms.expand_terms(terms) if synonyms else terms)]
-    return spark.createDataFrame(rows, "query_id bigint, term string")
+    return Terms(local(spark, rows, "query_id bigint, term string"), len(rows))
 
 
-def contributions(index: Index, terms: DataFrame, params: Bm25) -> DataFrame:
+def contributions(index: Index, terms: Terms, params: Bm25) -> DataFrame:
     """(query_id, term, ord, tf, df, n, dl, avgdl, contribution) of every match."""
     postings = index.postings(terms)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rows = index.with_stats(postings.join(df, "term").join(_small(terms), "term"))
+    rows = index.with_stats(postings.join(df, "term").join(_small(terms.table, terms.n), "term"))
     return rows.withColumn("contribution", params.score(*map(F.col, ("n", "df", "tf", "dl", "avgdl"))))
 
 
-def score_terms(index: Index, terms: DataFrame, params: Bm25 | None = None) -> DataFrame:
+def score_terms(index: Index, terms: Terms, params: Bm25 | None = None) -> DataFrame:
     """(query_id, ord, score): sums of contributions, to six digits."""
     return contributions(index, terms, params or Bm25()).groupBy("query_id", "ord").agg(F.round(F.sum("contribution"), DIGITS).alias("score"))
 
@@ -202,7 +223,8 @@ def bool_search(index: Index, query: str, k: int = 10, params: Bm25 | None = Non
     words = parse_query(query)
     by = {occur: sorted({w.text for w in words if w.occur == occur}) for occur in ("must", "should", "must_not")}
     spark = index.tokens.sparkSession
-    terms = spark.createDataFrame([(0, t) for t in sorted({*by["must"], *by["should"], *by["must_not"]})], "query_id bigint, term string")
+    words = [(0, t) for t in sorted({*by["must"], *by["should"], *by["must_not"]})]
+    terms = Terms(local(spark, words, "query_id bigint, term string"), len(words))
     rows = contributions(index, terms, params or Bm25())
     one_of = lambda names: F.col("term").isin(names) if names else F.lit(False)
     scored = rows.groupBy("ord").agg(
@@ -214,7 +236,7 @@ def bool_search(index: Index, query: str, k: int = 10, params: Bm25 | None = Non
 
 
 def _expanded(index: Index, matching: DataFrame, k: int, params: Bm25 | None) -> DataFrame:
-    terms = matching.select(F.lit(0).cast("bigint").alias("query_id"), "term").distinct()
+    terms = Terms(matching.select(F.lit(0).cast("bigint").alias("query_id"), "term").distinct())
     return ranked(score_terms(index, terms, params).drop("query_id"), k)
 
 
@@ -241,7 +263,7 @@ def explain(index: Index, query: str, ord_: int, params: Bm25 | None = None) ->
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
     doc = index.tokens.where(F.col("ord") == ord_).select("dl")
     own = rows.where(F.col("ord") == ord_).select("term", "tf")
-    out = index.with_stats(terms.select("term").join(df, "term", "left").join(own, "term", "left").crossJoin(doc)).fillna({"df": 0, "tf": 0})
+    out = index.with_stats(terms.table.select("term").join(df, "term", "left").join(own, "term", "left").crossJoin(doc)).fillna({"df": 0, "tf": 0})
     there = F.col("df") > 0
     idf, norm = F.when(there, params.idf(F.col("n"), F.col("df"))).otherwise(0.0), F.when(F.col("tf") > 0, params.norm(F.col("tf"), F.col("dl"), F.col("avgdl"))).otherwise(0.0)
     part = F.when(F.col("tf") > 0, idf * (norm + params.delta)).otherwise(0.0)
@@ -281,13 +303,13 @@ class FieldIndex:
         for i, w in enumerate(parse_query(query)):
             terms = list(dict.fromkeys(t for t, _ in self.analyzer(w.text)))
             rows += [(i, w.field or self.default, t, w.boost) for t in (synonyms.expand_terms(terms) if synonyms else terms)]
-        wanted = self.fields.sparkSession.createDataFrame(rows, "word int, field string, term string, boost double")
+        wanted = local(self.fields.sparkSession, rows, "word int, field string, term string, boost double")
         every = self.fields.where(F.col("field") != self.default).select("ord", "field", "dl", "tokens")
         every = every.unionByName(self.catch_all.tokens.select("ord", F.lit(self.default).alias("field"), "dl", "tokens"))
         sums = every.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-        postings = every.select("ord", "field", "dl", F.explode("tokens").alias("t")).select("ord", "field", "dl", "t.term").join(_small(wanted.select("field", "term").distinct()), ["field", "term"]).groupBy("field", "term", "ord", "dl").agg(F.count("*").alias("tf"))
+        postings = every.select("ord", "field", "dl", F.explode("tokens").alias("t")).select("ord", "field", "dl", "t.term").join(_small(wanted.select("field", "term").distinct(), len(rows)), ["field", "term"]).groupBy("field", "term", "ord", "dl").agg(F.count("*").alias("tf"))
         df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-        scored = postings.join(df, ["field", "term"]).join(sums, "field").join(_small(wanted), ["field", "term"])
+        scored = postings.join(df, ["field", "term"]).join(sums, "field").join(_small(wanted, len(rows)), ["field", "term"])
         scored = scored.select("word", "field", "term", "boost", "ord", params.score(*map(F.col, ("n", "df", "tf", "dl", "avgdl"))).alias("score"))
         top = ranked(scored, k, ["word", "field", "term"])
         return ranked(top.groupBy("ord").agg(F.round(F.sum(F.col("score") * F.col("boost")), DIGITS).alias("score")), k)
