@@ -75,13 +75,14 @@ class Index:
         return self.tokens.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("sum_dl"))
 
     def exploded(self) -> DataFrame:
-        return self.tokens.select("ord", "dl", F.explode("tokens").alias("t")).select("ord", "dl", "t.term", "t.pos")
+        # the outer form, since for the inner one the planner tests the tokens' number first, and makes them twice
+        return self.tokens.select("ord", "dl", F.explode_outer("tokens").alias("t")).where("t is not null").select("ord", "dl", "t.term", "t.pos")
 
     def postings(self, terms: Terms | None = None) -> DataFrame:
         """(term, ord, dl, tf), of these terms or of all; one aggregation after a map-side combine."""
         rows = self.exploded()
         if terms is not None:
-            rows = rows.join(_small(terms.table.select("term").distinct(), terms.n), "term")
+            rows = rows.join(_small(terms.distinct(), terms.n), "term")
         return rows.groupBy("term", "ord", "dl").agg(F.count("*").alias("tf"))
 
     def positions(self) -> DataFrame:
@@ -115,12 +116,25 @@ def local(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*map(one, rows))).alias("r")).select("r.*")
 
 
+def _documents() -> Column:
+    """Rows of postings, counted by a column, so that both uses of the postings read the same shuffle."""
+    return F.sum(F.when(F.col("tf") > 0, F.lit(1).cast("bigint")))
+
+
 @dataclass(frozen=True)
 class Terms:
     """Query terms (query_id, term), and how many there are if that is known."""
 
     table: DataFrame
     n: int | None = None
+    words: DataFrame | None = None
+
+    @classmethod
+    def of(cls, spark, rows: list[tuple]) -> Terms:
+        return cls(local(spark, rows, "query_id bigint, term string"), len(rows), local(spark, [(t,) for t in dict.fromkeys(t for _, t in rows)], "term string"))
+
+    def distinct(self) -> DataFrame:
+        return self.table.select("term").distinct() if self.words is None else self.words
 
 
 def _stemmed(tokens: DataFrame, docs: DataFrame, analyzer: Analyzer) -> DataFrame:
@@ -144,13 +158,13 @@ def query_terms(index: Index, queries: dict | str | DataFrame, synonyms: Synonym
     for q, text in queries.items():
         terms = list(dict.fromkeys(t for t, _ in index.analyzer(text)))
         rows += [(q, t) for t in (synonyms.expand_terms(terms) if synonyms else terms)]
-    return Terms(local(spark, rows, "query_id bigint, term string"), len(rows))
+    return Terms.of(spark, rows)
 
 
 def contributions(index: Index, terms: Terms, params: Bm25) -> DataFrame:
     """(query_id, term, ord, tf, df, n, dl, avgdl, contribution) of every match."""
     postings = index.postings(terms)
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = postings.groupBy("term").agg(_documents().alias("df"))
     rows = index.with_stats(postings.join(df, "term").join(_small(terms.table, terms.n), "term"))
     return rows.withColumn("contribution", params.score(*map(F.col, ("n", "df", "tf", "dl", "avgdl"))))
 
@@ -224,7 +238,7 @@ def bool_search(index: Index, query: str, k: int = 10, params: Bm25 | None = Non
     by = {occur: sorted({w.text for w in words if w.occur == occur}) for occur in ("must", "should", "must_not")}
     spark = index.tokens.sparkSession
     words = [(0, t) for t in sorted({*by["must"], *by["should"], *by["must_not"]})]
-    terms = Terms(local(spark, words, "query_id bigint, term string"), len(words))
+    terms = Terms.of(spark, words)
     rows = contributions(index, terms, params or Bm25())
     one_of = lambda names: F.col("term").isin(names) if names else F.lit(False)
     scored = rows.groupBy("ord").agg(
@@ -260,7 +274,7 @@ def explain(index: Index, query: str, ord_: int, params: Bm25 | None = None) ->
     params = params or Bm25()
     terms = query_terms(index, query)
     rows = index.postings(terms)
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    df = rows.groupBy("term").agg(_documents().alias("df"))
     doc = index.tokens.where(F.col("ord") == ord_).select("dl")
     own = rows.where(F.col("ord") == ord_).select("term", "tf")
     out = index.with_stats(terms.table.select("term").join(df, "term", "left").join(own, "term", "left").crossJoin(doc)).fillna({"df": 0, "tf": 0})
@@ -308,7 +322,7 @@ class FieldIndex:
         every = every.unionByName(self.catch_all.tokens.select("ord", F.lit(self.default).alias("field"), "dl", "tokens"))
         sums = every.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
         postings = every.select("ord", "field", "dl", F.explode("tokens").alias("t")).select("ord", "field", "dl", "t.term").join(_small(wanted.select("field", "term").distinct(), len(rows)), ["field", "term"]).groupBy("field", "term", "ord", "dl").agg(F.count("*").alias("tf"))
-        df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+        df = postings.groupBy("field", "term").agg(_documents().alias("df"))
         scored = postings.join(df, ["field", "term"]).join(sums, "field").join(_small(wanted, len(rows)), ["field", "term"])
         scored = scored.select("word", "field", "term", "boost", "ord", params.score(*map(F.col, ("n", "df", "tf", "dl", "avgdl"))).alias("score"))
         top = ranked(scored, k, ["word", "field", "term"])
