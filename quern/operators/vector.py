@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,6 @@ from quern.operators.lexical import DIGITS, ranked
 
 #: Constant of reciprocal rank fusion.
 RRF = 60
-_NONE = "cast(array() as array<double>)"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,27 +51,8 @@ def search_vector(vectors: DataFrame, query: list[float], k: int = 10, metric: s
     return ranked(same.select("ord", F.round(similarity(metric, F.col("vector"), q), DIGITS).alias("score")).where("score is not null"), k, ascending_ord=True)
 
 
-#: Queries up to this many go to every task as one matrix; more go in rounds of so many.
-BATCH_QUERIES = 10_000
-
-
-def search_vector_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """(query_id, ord, score, rank) for queries (query_id, vector): each task multiplies its batches with the query
-    matrix and keeps its own k best of each query, so that the shuffle holds k rows for a query and batch.
-
-    The query table is taken in rounds of bounded size.
-    """
-    rows = queries.orderBy("query_id").toLocalIterator(prefetchPartitions=True)
-    out, part = None, []
-    for r in rows:
-        part.append((r["query_id"], r["vector"]))
-        if len(part) == BATCH_QUERIES:
-            done = _batch(vectors, part, k, metric)
-            out, part = done if out is None else out.unionByName(done), []
-    if part or out is None:
-        done = _batch(vectors, part, k, metric)
-        out = done if out is None else out.unionByName(done)
-    return ranked(out, k, ["query_id"], ascending_ord=True)
+#: Vectors of a block, the unit of batch search.
+BLOCK = 2048
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -80,32 +61,49 @@ def _unit(m: np.ndarray) -> np.ndarray:
         return np.where(size > 0, m / size, np.nan)
 
 
-def _batch(vectors: DataFrame, part: list, k: int, metric: str) -> DataFrame:
-    ids = np.array([q for q, _ in part], np.int64)
-    matrix = np.array([v for _, v in part], np.float64).reshape(len(part), -1)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+def _blocks(df: DataFrame, ids: str, side: str) -> DataFrame:
+    """Rows (ids, data) of up to BLOCK vectors of one dimension each, as packed 64-bit numbers."""
+
+    def work(it):
+        for b in it:
+            key, col = np.asarray(b.column(0)), b.column(1)
+            size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0))
+            for d in np.unique(size[size > 0]):
+                at = np.flatnonzero(size == d)
+                v = np.asarray(col.take(pa.array(at)).flatten()).astype(np.float64).reshape(-1, d)
+                cut = range(0, at.size, BLOCK)
+                yield pa.RecordBatch.from_pydict({f"{side}_ids": [key[at[i : i + BLOCK]].tobytes() for i in cut], f"{side}_data": [v[i : i + BLOCK].tobytes() for i in cut]})
+
+    return df.select(F.col(ids).cast("bigint"), "vector").mapInArrow(work, f"{side}_ids binary, {side}_data binary")
+
+
+def search_vector_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """(query_id, ord, score, rank) for queries (query_id, vector).
+
+    Both sides are cut into blocks, every pair of blocks is one matrix product, and of each the k best of a
+    query go on to the ranking; neither side passes through the driver or has to fit a worker.
+    """
 
     def work(it):
-        ids, q = shared.value
         for b in it:
-            ords, col = np.asarray(b.column(0)), b.column(1)
-            ok = np.asarray(pa.compute.equal(pa.compute.list_value_length(col), q.shape[1]).fill_null(False))
-            if not ids.size or not ok.any():
-                continue
-            v = np.asarray(col.filter(pa.array(ok)).flatten()).reshape(-1, q.shape[1]).astype(np.float64)
-            o = ords[ok]
-            if metric == "l2":
-                s = 0.0 - np.stack([((v - x) ** 2).sum(1) for x in q])
-            else:
-                s = _unit(q) @ _unit(v).T if metric == "cosine" else q @ v.T
-            s = np.round(s, DIGITS) + 0.0
-            top = np.stack([np.lexsort((o, -row))[:k] for row in s])
-            query, at = np.repeat(ids, top.shape[1]), top.ravel()
-            score = np.take_along_axis(s, top, 1).ravel()
-            good = ~np.isnan(score)
-            yield pa.RecordBatch.from_arrays([pa.array(query[good]), pa.array(o[at][good]), pa.array(score[good])], names=["query_id", "ord", "score"])
-
-    return vectors.select(F.col("ord").cast("bigint"), "vector").mapInArrow(work, "query_id long, ord long, score double")
+            for row in zip(*(b.column(i) for i in range(4))):
+                q_ids, q, o, v = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int64, np.float64, np.int64, np.float64)))
+                q, v = q.reshape(q_ids.size, -1), v.reshape(o.size, -1)
+                if q.shape[1] != v.shape[1]:
+                    continue
+                if metric == "l2":
+                    s = 0.0 - np.stack([((v - x) ** 2).sum(1) for x in q])
+                else:
+                    s = _unit(q) @ _unit(v).T if metric == "cosine" else q @ v.T
+                s = np.round(s, DIGITS) + 0.0
+                s[np.isnan(s)] = -np.inf
+                top = np.stack([np.lexsort((o, -x))[:k] for x in s])
+                query, at, score = np.repeat(q_ids, top.shape[1]), top.ravel(), np.take_along_axis(s, top, 1).ravel()
+                good = score > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(query[good]), pa.array(o[at][good]), pa.array(score[good])], names=["query_id", "ord", "score"])
+
+    pairs = _blocks(queries, "query_id", "q").crossJoin(_blocks(vectors, "ord", "v"))
+    return ranked(pairs.mapInArrow(work, "query_id long, ord long, score double"), k, ["query_id"], ascending_ord=True)
 
 
 def quantize(vector: Column) -> Column:

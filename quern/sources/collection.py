@@ -8,7 +8,7 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.query import VALUE, SynonymMap
@@ -162,12 +162,13 @@ class Collection:
             if self.options.vector_metric == "cosine":
                 data = data.withColumn("unit", vector.normalised(F.col("vector")))
                 bad = bad.when(F.col("vector").isNotNull() & F.col("unit").isNull(), "zero")
-                data = data.withColumn("vector", F.col("unit").cast("array<float>"))
         else:
             bad = bad.when(F.col("vector").isNotNull(), "dim")
         wrong = data.select(bad.alias("bad")).where("bad is not null").first()
         if wrong:
             raise CollectionError({"key": Kind.KEY_TOO_LARGE, "value": Kind.VALUE_TOO_LARGE}.get(wrong[0], Kind.INVALID_OPTION), f"vector: {wrong[0]}")
+        if "unit" in data.columns:
+            data = data.withColumn("vector", F.col("unit").cast("array<float>"))
         numbered = data.withColumn("ord", F.col("_at") + F.lit(last[0] + 1)) if "seq" in names else _number(data, last[0] + 1)
         out = numbered.withColumn("file_id", F.lit(last[1] + 1).cast("bigint"))
         out.select(*[c.split()[0] for c in LOG.split(", ")]).write.mode("append").parquet(self._version())
@@ -320,8 +321,6 @@ def _number(data: DataFrame, first: int) -> DataFrame:
     """ord by place in the batch: offsets of the partitions, then ranks within them."""
     part = F.shiftright("_at", 33)
     sizes = data.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # one row for each partition
     return data.withColumn("part", part).join(F.broadcast(before), "part").withColumn("ord", F.lit(first) + F.col("before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
 
