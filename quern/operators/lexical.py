@@ -192,23 +192,19 @@ def _filtered(index: Index, hits: DataFrame, where) -> DataFrame:
     return hits.join(index.metadata.where(passes(where, F.col("meta"))).select("ord"), "ord", "left_semi")
 
 
-def _positions_of(tokens: str, term: str) -> Column:
-    return F.transform(F.filter(tokens, lambda t: t.term == F.lit(term)), lambda t: t.pos)
-
-
 def search_near(index: Index, query: str, slop: int = 0, k: int = 10, params: Bm25 | None = None) -> DataFrame:
     """Documents that hold the query's terms in order, each within slop + 1 positions of the one before.
 
     The score takes the number of starts that match for its term frequency and the first term's document
-    frequency.  Matching happens inside each document's row; nothing is shuffled but the k best.
+    frequency.  Only the query's terms are gathered by document; matching happens inside its row.
     """
     params = params or Bm25()
     terms = [t for t, _ in index.analyzer(query)]
     if not terms:
         return index.tokens.limit(0).select("ord", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    has = F.filter("tokens", lambda t: t.term.isin(list(set(terms))))
-    rows = index.tokens.select("ord", "dl", has.alias("tokens")).where(F.size("tokens") > 0)
-    lists = [_positions_of("tokens", t) for t in terms]
+    own = list(dict.fromkeys(terms))
+    rows = index.exploded().where(F.col("term").isin(own)).groupBy("ord", "dl").agg(*[F.sort_array(F.collect_list(F.when(F.col("term") == t, F.col("pos")))).alias(f"p{i}") for i, t in enumerate(own)])
+    lists = [F.col(f"p{own.index(t)}") for t in terms]
 
     def follows(start: Column) -> Column:
         at = start
@@ -219,7 +215,7 @@ def search_near(index: Index, query: str, slop: int = 0, k: int = 10, params: Bm
     def after(at: Column):
         return lambda x: (x > at) & (x <= at + 1 + slop)
 
-    counted = rows.withColumn("first", F.exists("tokens", lambda t: t.term == F.lit(terms[0]))).withColumn("tf", F.size(F.filter(lists[0], follows)).cast("bigint"))
+    counted = rows.withColumn("first", F.size(lists[0]) > 0).withColumn("tf", F.size(F.filter(lists[0], follows)).cast("bigint"))
     df = counted.agg(F.sum(F.col("first").cast("bigint")).alias("df"))
     hits = index.with_stats(counted.where("tf > 0").crossJoin(F.broadcast(df)))
     scored = hits.select("ord", F.round(params.score(*map(F.col, ("n", "df", "tf", "dl", "avgdl"))), DIGITS).alias("score"))
