@@ -329,6 +329,25 @@ def test_ngram_join(spark, light, monkeypatch):
     assert all(have[p.doc_a] == p.group_id for p in got)
 
 
+def brute_pairs(table):
+    sets = [(i, s) for i, s in sets_of(table) if s and i is not None]
+    return {(min(a, b), max(a, b)) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if a != b and len(s & t) >= ngram_join.THRESHOLD * len(s | t)}
+
+
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 16])
+def test_copies_made_of_common_passages(spark, block, monkeypatch):
+    """Every gram of the planted copies but a few is in a list of over 100 documents."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    r = random.Random(13)
+    passages = [words(118, 5000 + k, 10**6) for k in range(6)]
+    table = [(i, " ".join([*r.sample(passages, 4), words(200, 6000 + i, 10**6)])) for i in range(180)]
+    table += [(1000 + i, edited(table[i][1], 0.03, r)) for i in range(40)]
+    want = brute_pairs(table)
+    assert {(i, 1000 + i) for i in range(40)} <= want
+    got = {(p.doc_a, p.doc_b) for p in ngram_join.ngram_jaccard_join(docs(spark, table)).collect()}
+    assert got == want
+
+
 def test_subsets_are_exact(spark):
     """Small sets only: every pair is found."""
     r = random.Random(3)
