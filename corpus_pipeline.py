@@ -7,10 +7,9 @@ as the next one's docs.  All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm.compression_bands import within_bands
-from quern.llm.ngram_join import ngram_jaccard_join
+from quern.llm.ngram_join import near_duplicate_groups
 from quern.llm.pattern_packing import pack
 from quern.llm.pii_crf import redact
 from quern.llm.shared import materialize, table, without_ids
@@ -24,9 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group that the n-gram join connects."""
-    pairs = ngram_jaccard_join(docs)
-    member = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id"), "group_id")
-    return without_ids(docs, member.where("doc_id != group_id"))
+    return without_ids(docs, near_duplicate_groups(docs).where("doc_id != group_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

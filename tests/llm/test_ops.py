@@ -334,6 +334,17 @@ def brute_pairs(table):
     return {(min(a, b), max(a, b)) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if a != b and len(s & t) >= ngram_join.THRESHOLD * len(s | t)}
 
 
+def test_join_lists_every_pair(spark):
+    """Groups of near and equal copies: the set of pairs, not only what it connects."""
+    r = random.Random(12)
+    table = []
+    for g, size in enumerate([6, 20, 150, 500]):
+        base = words(size, 4000 + g, 10**6)
+        table += [(100 * g + k, edited(base, [0, 0, 0.02, 0.05][k % 4], r)) for k in range(12)]
+    got = [(p.doc_a, p.doc_b) for p in ngram_join.ngram_jaccard_join(docs(spark, table)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(table)
+
+
 @pytest.mark.parametrize("block", [ngram_join.BLOCK, 16])
 def test_copies_made_of_common_passages(spark, block, monkeypatch):
     """Every gram of the planted copies but a few is in a list of over 100 documents."""
