@@ -44,6 +44,23 @@ def _fields(line: bytes, version: int) -> dict[str, str]:
     return dict(zip(names, [" ".join(parts[:-rest]), *parts[-rest:]]))
 
 
+#: Lines that look like a header of each version: a scheme, and from the end length, fields and date.
+_HEADERS = {v: re.compile(rb"^[A-Za-z][A-Za-z0-9+.-]*:[^\n]* (\d{12}|\d{14})(?: [^\n ]*){%d} (\d{1,18})\r?\n" % (len(names) - 4), re.M) for v, names in _FIELDS.items()}
+
+
+def _ends(data: bytes, at: int) -> bool:
+    """Whether a block may end here: at the archive's end or a line's."""
+    return at == len(data) or data[at : at + 1] in (b"\n", b"\r")
+
+
+def _next_header(data: bytes, at: int, version: int) -> int:
+    """Where the next header line begins whose date can be read and whose block ends where a block may, else the archive's end."""
+    for m in _HEADERS[version].finditer(data, at):
+        if _date(m[1].decode()) and _ends(data, m.end() + int(m[2])):
+            return m.start()
+    return len(data)
+
+
 def convert_archive(archive: str | None, content: bytes | None) -> Iterator[dict]:
     """WARC records of one ARC archive.
 
@@ -51,7 +68,9 @@ def convert_archive(archive: str | None, content: bytes | None) -> Iterator[dict
     record; http(s) records whose block begins with a status line become responses, all others resources.
     Header lines are read by the version's fields and blocks by the declared length alone, whatever they
     hold.  What can't be read (a bad line or length, a block cut short) gives one record of type 'error'
-    with the cause, after which reading of this archive ends; earlier records stay.
+    with the cause.  After a bad date reading goes on behind the block, if its length holds; after all else, and
+    where the length doesn't hold, at the next line that is a header of the version.  Only an archive whose
+    version can't be read ends there.
     """
     data, at, version = content or b"", 0, 0
     name = archive or ""
@@ -60,8 +79,9 @@ def convert_archive(archive: str | None, content: bytes | None) -> Iterator[dict
             at += 1
             continue
         record = dict.fromkeys(_ARROW.names) | {"archive": archive, "offset": at, "arc_version": version or None}
+        end = data.find(b"\n", at)
+        after = None  # where the block ends
         try:
-            end = data.find(b"\n", at)
             if end < 0:
                 raise ValueError("header line has no end")
             line = data[at:end].rstrip(b"\r")
@@ -83,6 +103,7 @@ def convert_archive(archive: str | None, content: bytes | None) -> Iterator[dict
             block = data[end + 1 : end + 1 + size]
             if len(block) < size:
                 raise ValueError(f"block has {len(block)} of {size} bytes")
+            after = end + 1 + size
             date = _date(f["date"])
             if date is None:
                 raise ValueError(f"date {f['date']!r} can't be read")
@@ -114,10 +135,13 @@ def convert_archive(archive: str | None, content: bytes | None) -> Iterator[dict
                 "content_type": mime, "block_digest": own, "payload_digest": whole if kind == "response" else None, "content_length": len(block), "http_status": status,
                 "header": "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n", "block": block,
             }
-            at = end + 1 + size
+            at = after
         except ValueError as e:
             yield record | {"warc_type": "error", "error": str(e)}
-            return
+            if not version or end < 0:
+                return
+            at = after if after is not None and _ends(data, after) else _next_header(data, end + 1, version)
+            continue
         yield record
 
 

@@ -483,6 +483,19 @@ def test_arc_errors(spoil):
     assert got[-1]["warc_type"] == "error" and got[-1]["error"] and len(got) <= 2
 
 
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("old, new", [(b" 20010203040507 ", b" 2001 "), (b" 9\n", b" x9\n"), (b" 9\n", b" 999999\n"), (b" 9\n", b" 4\n"), (b"http://b/ ", b"http://b/")])
+def test_arc_goes_on_after_a_bad_record(version, old, new):
+    record = lambda u, second, b: arc.arc_record(version, u, "1.1.1.1", f"2001020304050{second}", "text/html", b)
+    bad = record("http://b/", 7, b"two\nlines")
+    assert old in bad
+    rest = b"".join(record(f"http://c/{i}", 8, b"three") for i in range(50))
+    got = list(arc.convert_archive("t", arc.arc_head(version, "t", "20010203040506") + record("http://a/", 6, b"one") + bad.replace(old, new, 1) + rest))
+    good = [(r["target_uri"], r["block"]) for r in got if r["warc_type"] == "resource" and r["target_uri"] != "http://b/"]
+    assert good == [("http://a/", b"one")] + [(f"http://c/{i}", b"three") for i in range(50)]
+    assert sum(r["warc_type"] == "error" for r in got) == 1
+
+
 def test_pages_as_arc(spark):
     pages = spark.createDataFrame([(1, "http://a/ b", "<p>é"), (2, None, None), (None, "http://n/", ""), (1, "http://a/ b", "<p>é")], "page_id long, url string, html string")
     got = arc.arc_to_warc(arc.pages_as_arc(pages)).where("warc_type = 'response' or warc_type = 'resource'").collect()
