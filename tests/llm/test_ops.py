@@ -36,7 +36,7 @@ def rows(df):
 
 
 OPERATORS = {
-    "count_tokens": token_counts.count_tokens, "repeated_units": line_dedup.repeated_units, "find_pii": pii_crf.find_pii, "license_spans": license_scan.license_spans,
+    "count_tokens": token_counts.count_tokens, "repeated_units": line_dedup.repeated_units, "find_pii": pii_crf.find_pii, "near_duplicate_classes": ngram_join.near_duplicate_classes, "license_spans": license_scan.license_spans,
     "compression_bands": cb.compression_bands, "ngram_jaccard_join": ngram_join.ngram_jaccard_join, "pack": pattern_packing.pack, "within_bands": cb.within_bands, "redact": pii_crf.redact,
 }
 
@@ -303,6 +303,31 @@ def edited(text, share, r):
     return " ".join(f"e{r.randrange(10**6)}" if r.random() < share else w for w in text.split())
 
 
+def brute_classes(table):
+    """(doc_id, class_id, n_copies, n_links) of every document with words."""
+    ids, links = collections.defaultdict(set), collections.Counter()
+    for i, s in sets_of(table):
+        if s and i is not None:
+            ids[s].add(i)
+    sets, root = list(ids), {}
+    for x, s in enumerate(sets):
+        for t in sets[:x]:
+            if s & t and len(s & t) >= ngram_join.THRESHOLD * len(s | t):
+                links[s] += 1
+                links[t] += 1
+                root[s, t] = 1
+    joined = connected((min(ids[s]), min(ids[t])) for s, t in root)
+    low = collections.defaultdict(lambda: 1 << 60)
+    for s in sets:
+        i = min(ids[s])
+        low[joined.get(i, i)] = min(low[joined.get(i, i)], i)
+    return sorted((i, low[joined.get(min(own), min(own))], len(own) - 1, links[s]) for s, own in ids.items() for i in own)
+
+
+def classes(spark, table):
+    return sorted(tuple(r) for r in ngram_join.ngram_jaccard_join(docs(spark, table)).select("doc_id", "class_id", "n_copies", "n_links").collect())
+
+
 @pytest.mark.parametrize("light", [ngram_join.LIGHT, 4])
 def test_ngram_join(spark, light, monkeypatch):
     r = random.Random(8)
@@ -314,35 +339,19 @@ def test_ngram_join(spark, light, monkeypatch):
     passage = words(60, 5, 10**6)
     table += [(9000 + i, f"{words(150, 7000 + i, 10**6)} {passage} {words(90, 8000 + i, 10**6)}") for i in range(12)]
     monkeypatch.setattr(ngram_join, "LIGHT", light)
-    got = ngram_join.ngram_jaccard_join(docs(spark, table)).collect()
-    sets = [(i, s) for i, s in sets_of(table) if s and i is not None]
-    jaccard = {}
-    for x in range(len(sets)):
-        for y in range(x):
-            (a, s), (b, t) = sets[x], sets[y]
-            if a != b and s & t and (j := len(s & t) / len(s | t)) >= ngram_join.THRESHOLD:
-                jaccard[min(a, b), max(a, b)] = j
-    for p in got:
-        assert abs(jaccard[p.doc_a, p.doc_b] - p.jaccard) < 1e-9
-    want, have = connected(jaccard), connected((p.doc_a, p.doc_b) for p in got)
-    assert sum(have.get(k) == v for k, v in want.items()) >= 0.98 * len(want) and set(have) <= set(want)
-    assert all(have[p.doc_a] == p.group_id for p in got)
-
+    assert classes(spark, table) == brute_classes(table)
 
-def brute_pairs(table):
-    sets = [(i, s) for i, s in sets_of(table) if s and i is not None]
-    return {(min(a, b), max(a, b)) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if a != b and len(s & t) >= ngram_join.THRESHOLD * len(s | t)}
 
-
-def test_join_lists_every_pair(spark):
-    """Groups of near and equal copies: the set of pairs, not only what it connects."""
+@pytest.mark.parametrize("together", [ngram_join._TOGETHER, 5])
+def test_links_are_all_counted(spark, together, monkeypatch):
+    """Groups of near and equal copies, and classes cut into blocks."""
+    monkeypatch.setattr(ngram_join, "_TOGETHER", together)
     r = random.Random(12)
     table = []
     for g, size in enumerate([6, 20, 150, 500]):
         base = words(size, 4000 + g, 10**6)
         table += [(100 * g + k, edited(base, [0, 0, 0.02, 0.05][k % 4], r)) for k in range(12)]
-    got = [(p.doc_a, p.doc_b) for p in ngram_join.ngram_jaccard_join(docs(spark, table)).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute_pairs(table)
+    assert classes(spark, table) == brute_classes(table)
 
 
 @pytest.mark.parametrize("block", [ngram_join.BLOCK, 16])
@@ -353,10 +362,23 @@ def test_copies_made_of_common_passages(spark, block, monkeypatch):
     passages = [words(118, 5000 + k, 10**6) for k in range(6)]
     table = [(i, " ".join([*r.sample(passages, 4), words(200, 6000 + i, 10**6)])) for i in range(180)]
     table += [(1000 + i, edited(table[i][1], 0.03, r)) for i in range(40)]
-    want = brute_pairs(table)
-    assert {(i, 1000 + i) for i in range(40)} <= want
-    got = {(p.doc_a, p.doc_b) for p in ngram_join.ngram_jaccard_join(docs(spark, table)).collect()}
-    assert got == want
+    got = classes(spark, table)
+    assert got == brute_classes(table) and all(n for i, _, _, n in got if i >= 1000)
+
+
+def test_a_line_that_very_many_short_documents_share(spark):
+    line = words(13, 77, 10**6)
+    table = [(i, f"{words(4 + i % 30, 7700 + i, 10**6)} {line}") for i in range(300)]
+    assert classes(spark, table) == brute_classes(table)
+
+
+def test_products_count_common_grams():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 50))).astype(np.uint32) for _ in range(9)]
+    want = np.array([[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets])
+    got = ngram_join._products(sets, 0)
+    assert (got - np.diag(np.diag(got)) == want - np.diag(np.diag(want))).all() and (ngram_join._products(sets, 4) == want[:4, 4:]).all()
+    assert ngram_join._common(sets[:8], sets[1:]).tolist() == [want[i, i + 1] for i in range(8)]
 
 
 def test_subsets_are_exact(spark):
