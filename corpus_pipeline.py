@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.compression_bands import within_bands
-from quern.llm.ngram_join import near_duplicate_groups
+from quern.llm.ngram_join import near_duplicate_classes
 from quern.llm.pattern_packing import pack
 from quern.llm.pii_crf import redact
 from quern.llm.shared import materialize, table, without_ids
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group that the n-gram join connects."""
-    return without_ids(docs, near_duplicate_groups(docs).where("doc_id != group_id"))
+    """One document, that of the smallest doc_id, of each class that the n-gram join connects."""
+    return without_ids(docs, near_duplicate_classes(docs).where("doc_id != class_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
