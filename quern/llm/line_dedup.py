@@ -1,127 +1,232 @@
-"""Substring dedup: hashing of lines, earliest occurrence kept."""
+"""Substring dedup: hashing of lines and of passages inside them, earliest occurrence kept."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import ragged
 from quern.llm.shared import map_arrow, materialize, need, table
 
-#: Shorter lines repeat by chance ("Of.") and are left alone.
-MIN_WORDS = 10
-UNITS = "doc_id long, unit int, start int, stop int, n_words int, h1 long, h2 long"
+#: A run of repeated units goes if it has this many words; shorter lines repeat in most corpora without being copied.
+MIN_WORDS = 20
+#: Besides lines, so many words from each anchor on are a unit: passages that begin and end in mid-line have no whole
+#: lines of their own.  Anchors are the first words of lines and one in EVERY words, by the lengths of the next four.
+WINDOW, EVERY, WEIGHTS = 16, 6, (1, 3, 5, 11)
+UNITS = "h long, rank long, print long, at long, again boolean"
 
+_LAST = (1 << 63) - 1
 
-def _digests(w: ragged.Words, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the word sequences lo..hi."""
+
+def _sums(w: ragged.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums from which the hash of any sequence of words follows, and the powers that bring it to its place."""
     pw, inv = ragged.powers(w.hash.size + 1)
-    out = []
-    for seed in (0x1D8E4E27C47D124F, 0xA0761D6478BD642F):
-        acc = np.zeros(w.hash.size + 1, np.uint64)
-        np.cumsum(ragged.mix(w.hash ^ np.uint64(seed)) * pw[: w.hash.size], out=acc[1:])
-        out.append(ragged.mix((acc[hi] - acc[lo]) * inv[lo] + (hi - lo).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+    acc = np.zeros(w.hash.size + 1, np.uint64)
+    np.cumsum(ragged.mix(w.hash ^ np.uint64(0x1D8E4E27C47D124F)) * pw[: w.hash.size], out=acc[1:])
+    return acc, inv
+
+
+def unit_ranges(w: ragged.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end word and kind (0 line, 1 window) of the units of a slice."""
+    n = w.hash.size
+    if not n:
+        e = np.empty(0, np.int64)
+        return e, e, e
+    feeds = np.zeros(w.raw.size + 1, np.int64)
+    np.cumsum(w.raw == 10, out=feeds[1:])
+    begins = np.ones(n, bool)
+    begins[1:] = (w.doc[1:] != w.doc[:-1]) | (feeds[w.start[1:]] > feeds[w.end[:-1]])
+    head = np.flatnonzero(begins)
+    tail = np.append(head[1:], n)
+    size, m = w.end - w.start, n - len(WEIGHTS) + 1
+    anchor = begins.copy()
+    if m > 0:
+        anchor[:m] |= sum(k * size[j : m + j] for j, k in enumerate(WEIGHTS)) % EVERY == 0
+    at = np.flatnonzero(anchor[: max(0, n - WINDOW + 1)])
+    at = at[w.doc[at] == w.doc[at + WINDOW - 1]]
+    return np.concatenate([head, at]), np.concatenate([tail, at + WINDOW]), np.repeat([0, 1], [head.size, at.size])
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """Units of (rank, print, text): (h, rank, print, at, again).
+
+    A unit is a line or WINDOW words from an anchor on, normalised to its words (runs of letters, digits
+    and non-ASCII characters, in lower case); h is its digest, and `at` holds its first and its end
+    word, 32 bits each.  `again` marks what stands earlier in the same text.
+    """
+
+    def work(it):
+        for batch, col in ragged.batches(it, "text"):
+            rank, prints = (np.asarray(batch.column(i)) for i in (0, 1))
+            for lo, hi in ragged.slices(col):
+                w = ragged.words(col, lo, hi)
+                a, b, kind = unit_ranges(w)
+                acc, inv = _sums(w)
+                h = ragged.mix((acc[b] - acc[a]) * inv[a] + ((b - a) * 2 + kind).astype(np.uint64))
+                doc = w.doc[a]
+                order = np.lexsort((a, h, doc))
+                again = np.zeros(h.size, bool)
+                again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+                first = w.first[doc]
+                at = (a - first) << 32 | (b - first)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rank[lo + doc]), pa.array(prints[lo + doc]), pa.array(at), pa.array(again)], names=["h", "rank", "print", "at", "again"])
+
+    return map_arrow(docs, work, UNITS)
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Lines of at least `min_words` words: (doc_id, unit, start, stop, n_words, h1, h2).
+def _keyed(key: Column, text: Column) -> list[Column]:
+    """What tells texts apart and orders them: a null key is last; rows of one key and text are one."""
+    return [F.coalesce(key.cast("long"), F.lit(_LAST)).alias("rank"), F.xxhash64(text).alias("print")]
 
-    `start` and `stop` are offsets in code points of the original text, `unit` is the line's number from
-    0.  A line is normalised to its words (runs of letters, digits and non-ASCII characters, in lower
-    case); h1 and h2 together are a 128-bit digest of them.
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """(rank, print, spans) of the texts with units that stand earlier, spans as `units` has them in `at`.
+
+    Digests are grouped over the whole table: units are written once to the shared folder, counted per
+    digest with map-side aggregation, and only digests of two texts or more are joined back.
+    """
+    every = materialize(units(docs), "line-units")
+    own = every.where("not again").drop("again")
+    twice = own.groupBy("h").agg(F.count("*").alias("n"), F.min("rank").alias("keep")).where("n > 1").drop("n")
+    later = own.join(twice, "h").where("rank > keep").select("rank", "print", "at").unionByName(every.where("again").select("rank", "print", "at"))
+    return later.groupBy("rank", "print").agg(F.collect_set("at").alias("spans"))  # as many as a text has words, at most
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Every document without what an earlier one holds: (doc_id, text, n_removed, removed, pieces).
+
+    Lines and passages that repeat are found by the digests of `units`; of each the occurrence of the least
+    doc_id, and the first in it, stays.  Units that overlap or stand side by side make a run, and a run goes
+    if it has `min_words` words, from its first word up to the next word that stays.  Text that is wrapped
+    otherwise repeats all the same.  `n_removed` counts words, `removed` has the runs as (start, stop) in
+    code points of the original text, and `pieces` those of what stays, in the order of the new text.
+
+    At each end of a passage that begins and ends in mid-line about EVERY words stay, since units begin
+    at anchors; passages of under WINDOW + EVERY words or so may stay as a whole, and so do shorter lines that
+    stand alone.  A null text stays null and an empty one empty; a null doc_id ranks last; rows that repeat a
+    doc_id have equal rank, so that what they share stays in all of them; equal rows are treated alike; an empty
+    table gives an empty result; other columns are ignored.
     """
+    own = need(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = own.select("doc_id", "text", *_keyed(F.col("doc_id"), F.col("text")))
+    found = repeated(own.select("rank", "print", "text").where("text is not null"))
+    joined = own.join(found, ["rank", "print"], "left").select("doc_id", "text", "spans")
+    span = "array<struct<start:int,stop:int>>"
 
     def work(it):
         for batch, col in ragged.batches(it, "text"):
-            ids = batch.column(0).cast(pa.int64())
+            spans = batch.column(2)
+            count = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(spans), 0)).astype(np.int64)
+            at = np.asarray(spans.flatten()).astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(count)])
             for lo, hi in ragged.slices(col):
                 w = ragged.words(col, lo, hi)
-                # a line begins at each text's beginning and after each line feed
-                feed = np.flatnonzero(w.raw == 10)
-                begin = np.union1d(feed + 1, w.text_at[:-1])
-                begin = begin[begin <= w.raw.size]
-                # of texts that begin at the same byte all but the last are empty
-                doc = np.searchsorted(w.text_at, begin, side="right") - 1
-                ok = doc < hi - lo
-                begin, doc = begin[ok], doc[ok]
-                end = np.minimum(np.append(begin[1:], w.raw.size), w.text_at[doc + 1])
-                fed = (end > begin) & (w.raw[np.maximum(end - 1, 0)] == 10) if w.raw.size else np.zeros(end.size, bool)
-                end = end - fed
-                first = np.searchsorted(doc, np.arange(hi - lo))
-                unit = np.arange(doc.size) - first[doc]
-                a, b = np.searchsorted(w.start, begin), np.searchsorted(w.start, end)
-                big = b - a >= min_words
-                a, b, doc = a[big], b[big], doc[big]
-                h1, h2 = _digests(w, a, b)
-                chars = w.chars()
-                base = chars[w.text_at[doc]]
-                cols = [unit[big], chars[begin[big]] - base, chars[end[big]] - base, b - a]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + lo)), *(pa.array(c.astype(np.int32)) for c in cols), pa.array(h1), pa.array(h2)], names=["doc_id", "unit", "start", "stop", "n_words", "h1", "h2"])
-
-    return map_arrow(need(docs, key, text).toDF("doc_id", "text"), work, UNITS)
-
-
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Lines to remove: every occurrence of a line but its earliest, by (doc_id, line number).
-
-    Columns: doc_id, unit, start, stop (offsets in code points of the original text), n_words, and the
-    occurrence that stays, keep_doc_id and keep_unit.  Digests are grouped over the whole table; the lines
-    are written once to the shared folder, counted per digest with map-side aggregation, and only digests
-    that occur twice are joined back.  Texts that are null or empty have no lines; a null doc_id ranks
-    last; rows that repeat a doc_id hold lines of equal rank, which stay together or go together; an empty
-    table gives an empty result; other columns are ignored.
-    """
-    lines = materialize(units(docs, min_words, text, key), "line-units")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "unit")
-    twice = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("keep")).where("n > 1").drop("n")
-    later = lines.join(twice, ["h1", "h2"]).where(rank > F.col("keep"))
-    return later.select("doc_id", "unit", "start", "stop", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit").alias("keep_unit"))
-
-
-def without(text: str | None, spans: list[tuple[int, int]]) -> tuple[str | None, list[tuple[int, int, int]]]:
-    """The text without these spans, and (new start, original start, length) of each piece that is left."""
-    if text is None:
-        return None, []
-    out, pieces, at, size = [], [], 0, 0
-    for lo, hi in sorted(spans):
-        hi = hi + 1 if text[hi : hi + 1] == "\n" else hi
-        if lo > at:
-            pieces.append((size, at, lo - at))
-            out.append(text[at:lo])
-            size += lo - at
-        at = max(at, hi)
-    if at < len(text):
-        pieces.append((size, at, len(text) - at))
-        out.append(text[at:])
-    return "".join(out), pieces
+                doc = np.repeat(np.arange(hi - lo), count[lo:hi])
+                own = at[before[lo] : before[hi]]
+                new, gone, runs, pieces = _without(w, doc, own >> 32, own & 0xFFFFFFFF, min_words)
+                new = pa.Array.from_buffers(pa.large_string(), hi - lo, [None, *map(pa.py_buffer, new)])
+                new = pa.compute.if_else(pa.compute.is_valid(col.slice(lo, hi - lo)), new, None).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), new, pa.array(gone), runs, pieces], names=["doc_id", "text", "n_removed", "removed", "pieces"])
+
+    return map_arrow(joined, work, f"doc_id long, text string, n_removed long, removed {span}, pieces {span}")
+
+
+def _without(w: ragged.Words, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, min_words: int):
+    """The texts of a slice without runs of the words lo..hi of text `doc`: (offsets, bytes), words gone, runs, pieces."""
+    n, texts = w.hash.size, w.text_at.size - 1
+    mark = np.zeros(n + 1, np.int64)
+    np.add.at(mark, w.first[doc] + lo, 1)
+    np.add.at(mark, w.first[doc] + hi, -1)
+    hit = np.cumsum(mark)[:n] > 0
+    new = np.ones(n, bool)
+    new[1:] = (hit[1:] != hit[:-1]) | (w.doc[1:] != w.doc[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], n)
+    gone = hit[head] & (tail - head >= min_words) if n else np.zeros(0, bool)
+    head, tail = head[gone], tail[gone]
+    of = w.doc[head]
+    # up to the next word of the text, or its end; from its beginning if no word stands before
+    a = np.where(head == w.first[of], w.text_at[of], w.start[head])
+    b = np.where(tail == w.first[of + 1], w.text_at[of + 1], w.start[np.minimum(tail, max(n - 1, 0))] if n else tail)
+    edge = np.zeros(w.raw.size + 1, np.int64)
+    np.add.at(edge, a, 1)
+    np.add.at(edge, b, -1)
+    keep = np.cumsum(edge)[: w.raw.size] == 0
+    size = np.concatenate([[0], np.cumsum(keep)]).astype(np.int64)
+    chars = w.chars()
+    place = lambda x, d: (chars[x] - chars[w.text_at[d]]).astype(np.int32)
+    # pieces lie between the runs
+    left = np.concatenate([w.text_at[:-1], b])
+    right = np.concatenate([w.text_at[1:], a])
+    d = np.concatenate([np.arange(texts), of])
+    first = np.argsort(d, kind="stable")
+    left, d = left[first], d[first]
+    right = right[np.lexsort((right, np.concatenate([np.arange(texts), of])))]
+    some = right > left
+    return (size[w.text_at], w.raw[keep]), np.bincount(of, tail - head, minlength=texts).astype(np.int64), _lists(of, place(a, of), place(b, of), texts), _lists(d[some], place(left, d)[some], place(right, d)[some], texts)
+
+
+def _lists(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, texts: int) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=texts))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], names=["start", "stop"]))
+
+
+def spelled(spans: Column) -> Column:
+    """Spans as text, such as 0-12,40-77."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s.start.cast("string"), s.stop.cast("string"))), ",")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_units(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_removed", spelled(F.col("removed")).alias("removed"), spelled(F.col("pieces")).alias("pieces"))
 
 
 QUERIES = {"op2_line_dedup": op2_line_dedup}
+
+_NOT_WORD = "[\\x00-/:-@\\[-`{-\\x7f]"
+_WORDS = f"[^{_NOT_WORD[1:]}"
+_ANCHOR = " + ".join(f"{k} * l[i + {j}]" for j, k in enumerate(WEIGHTS))
 ORACLE_SQL = {
     "op2_line_dedup": f"""
-WITH lines AS (
-  SELECT doc_id, unit, line, list_sum(list_transform(parts[:unit], lambda x: length(x) + 1)) AS before
-  FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS unit, unnest(parts) AS line
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
-), words AS (
-  SELECT doc_id, unit, coalesce(before, 0) AS start, coalesce(before, 0) + length(line) AS stop,
-         trim(regexp_replace(lower(line), '[\\x00-/:-@\\[-`{{-\\x7f]+', ' ', 'g')) AS norm
-  FROM lines
-), counted AS (
-  SELECT *, len(string_split(norm, ' ')) AS n_words FROM words
-), ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit
-  FROM counted WHERE n_words >= {MIN_WORDS}
-  WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit)
+WITH split AS (
+  SELECT doc_id, text, regexp_extract_all(text, '{_WORDS}+') AS w, string_split_regex(text, '{_WORDS}+') AS gaps FROM documents
+), cut AS (
+  SELECT doc_id, text, w, gaps, len(w) AS n, list_transform(w, lambda x: strlen(x)) AS l, list_transform(w, lambda x: lower(x)) AS low FROM split
+), word AS (
+  SELECT *, i = 1 OR contains(gaps[i], chr(10)) AS begins FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM cut)
+), placed AS (
+  SELECT doc_id, i, begins, sum(length(gaps[i])) OVER o + coalesce(sum(length(w[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), lines AS (
+  SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), n + 1) AS j, low FROM word WHERE begins
+), unit AS (
+  SELECT doc_id, i, j, 'line ' || array_to_string(low[i : j - 1], ' ') AS h FROM lines
+  UNION ALL
+  SELECT doc_id, i, i + {WINDOW}, 'window ' || array_to_string(low[i : i + {WINDOW - 1}], ' ') FROM word
+  WHERE i + {WINDOW - 1} <= n AND (begins OR (i + {len(WEIGHTS) - 1} <= n AND ({_ANCHOR}) % {EVERY} = 0))
+), later AS (
+  SELECT * FROM unit QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1
+), hit AS (
+  SELECT doc_id, i FROM (SELECT doc_id, unnest(range(i, j)) AS i FROM later) GROUP BY ALL
+), run AS (
+  SELECT doc_id, min(i) AS i, max(i) + 1 AS j FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM hit) GROUP BY doc_id, island HAVING count(*) >= {MIN_WORDS}
+), gone AS (
+  SELECT run.doc_id, run.j - run.i AS words, CASE WHEN run.i = 1 THEN 0 ELSE a.start END AS lo, coalesce(b.start, length(c.text)) AS hi
+  FROM run JOIN placed a ON a.doc_id = run.doc_id AND a.i = run.i LEFT JOIN placed b ON b.doc_id = run.doc_id AND b.i = run.j JOIN cut c ON c.doc_id = run.doc_id
+), edge AS (
+  SELECT doc_id, lo AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY lo) AS k FROM gone UNION ALL SELECT doc_id, length(text), 1 + (SELECT count(*) FROM gone g WHERE g.doc_id = cut.doc_id) FROM cut
+), start AS (
+  SELECT doc_id, hi AS start, 1 + row_number() OVER (PARTITION BY doc_id ORDER BY lo) AS k FROM gone UNION ALL SELECT doc_id, 0, 1 FROM cut
+), piece AS (
+  SELECT doc_id, start, stop, substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)) AS part FROM start JOIN edge USING (doc_id, k) JOIN cut USING (doc_id) WHERE stop > start
+), kept AS (
+  SELECT doc_id, string_agg(part, '' ORDER BY start) AS text, string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY start) AS pieces FROM piece GROUP BY 1
+), removed AS (
+  SELECT doc_id, CAST(sum(words) AS BIGINT) AS n_removed, string_agg(CAST(CAST(lo AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(hi AS BIGINT) AS VARCHAR), ',' ORDER BY lo) AS removed FROM gone GROUP BY 1
 )
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop,
-       CAST(n_words AS INTEGER) AS n_words, keep_doc_id, CAST(keep_unit AS INTEGER) AS keep_unit
-FROM ranked WHERE doc_id <> keep_doc_id OR unit <> keep_unit"""
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(pieces, '') AS pieces
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
 }

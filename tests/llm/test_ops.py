@@ -36,7 +36,7 @@ def rows(df):
 
 
 OPERATORS = {
-    "count_tokens": token_counts.count_tokens, "repeated_units": line_dedup.repeated_units, "find_pii": pii_crf.find_pii, "near_duplicate_classes": ngram_join.near_duplicate_classes, "license_spans": license_scan.license_spans,
+    "count_tokens": token_counts.count_tokens, "dedup_lines": line_dedup.dedup_lines, "find_pii": pii_crf.find_pii, "near_duplicate_classes": ngram_join.near_duplicate_classes, "license_spans": license_scan.license_spans,
     "compression_bands": cb.compression_bands, "ngram_jaccard_join": ngram_join.ngram_jaccard_join, "pack": pattern_packing.pack, "within_bands": cb.within_bands, "redact": pii_crf.redact,
 }
 
@@ -49,7 +49,7 @@ def test_empty_tables(spark, name):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_all_null(spark, name):
     got = OPERATORS[name](docs(spark, [(None, None), (1, None), (1, None)])).collect()
-    assert len(got) == (3 if name in ("count_tokens", "compression_bands", "pack", "redact") else 0)
+    assert len(got) == (3 if name in ("count_tokens", "compression_bands", "pack", "redact", "dedup_lines") else 0)
 
 
 # -- 1
@@ -84,35 +84,81 @@ def test_token_counts(spark):
 # -- 2
 
 
-def brute_lines(table, least):
-    seen, out = {}, []
-    units = []
+def brute_dedup(table, least):
+    """(doc_id, text, n_removed, runs, pieces) of every row, by comparing the words of all units."""
+    W, every, weights = line_dedup.WINDOW, line_dedup.EVERY, line_dedup.WEIGHTS
+    parsed, first = [], {}
     for i, t in table:
-        at = 0
-        for u, line in enumerate((t or "").split("\n") if t is not None else []):
-            w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", line.lower())
-            if len(w) >= least:
-                units.append(((i is None, i or 0, u), i, u, at, at + len(line), tuple(w)))
-            at += len(line) + 1
-    for rank, i, u, _, _, w in sorted(units, key=lambda x: x[0]):
-        seen.setdefault(w, (rank, i, u))
-    for rank, i, u, a, b, w in units:
-        if rank > seen[w][0]:
-            out.append((i, u, a, b, len(w), seen[w][1], seen[w][2]))
+        found = list(re.finditer(r"[a-zA-Z0-9\x80-\U0010ffff]+", t or ""))
+        w = [m[0].lower() for m in found]
+        begins = [k == 0 or "\n" in t[found[k - 1].end() : found[k].start()] for k in range(len(w))]
+        heads = [k for k, x in enumerate(begins) if x]
+        units = [("line", a, b) for a, b in zip(heads, [*heads[1:], len(w)])]
+        size = [len(m[0].encode()) for m in found]
+        for k in range(len(w) - W + 1):
+            if begins[k] or k + len(weights) <= len(w) and sum(x * y for x, y in zip(weights, size[k : k + len(weights)])) % every == 0:
+                units.append(("window", k, k + W))
+        rank = (i is None, i or 0)
+        for kind, a, b in units:
+            first.setdefault((kind, *w[a:b]), []).append((rank, a))
+        parsed.append((i, t, rank, found, w, units))
+    out = []
+    for i, t, rank, found, w, units in parsed:
+        if t is None:
+            out.append((i, None, 0, [], []))
+            continue
+        hit = set()
+        own = {}
+        for kind, a, b in sorted(units, key=lambda u: u[1]):
+            k = (kind, *w[a:b])
+            if min(first[k])[0] < rank or own.setdefault(k, a) < a:
+                hit.update(range(a, b))
+        runs, n, k = [], 0, 0
+        while k < len(w):
+            e = k
+            while e < len(w) and e in hit:
+                e += 1
+            if e - k >= least:
+                n += e - k
+                runs.append((0 if k == 0 else found[k].start(), len(t) if e == len(w) else found[e].start()))
+            k = max(e, k + 1)
+        pieces = [(x, y) for x, y in zip([0, *(y for _, y in runs)], [*(x for x, _ in runs), len(t)]) if y > x]
+        out.append((i, "".join(t[x:y] for x, y in pieces), n, runs, pieces))
     return sorted(out, key=repr)
 
 
-def test_line_dedup(spark):
-    a, b = words(12, 1), words(60, 2)
-    table = AWKWARD + [(10, f"{a}\n{b}\n{a.upper()}!"), (11, f"é {b}\n\n{b}"), (12, b.replace(" ", ",  ")), (12, b), (None, a), (13, "short line\nshort line")]
-    assert rows(line_dedup.repeated_units(docs(spark, table))) == brute_lines(table, line_dedup.MIN_WORDS)
-    assert rows(line_dedup.repeated_units(docs(spark, table), min_words=1)) == brute_lines(table, 1)
+def deduped(spark, table, **more):
+    got = line_dedup.dedup_lines(docs(spark, table), **more).collect()
+    return sorted(((r.doc_id, r.text, r.n_removed, [tuple(x) for x in r.removed], [tuple(x) for x in r.pieces]) for r in got), key=repr)
 
 
-def test_removal_keeps_offsets():
-    text, pieces = line_dedup.without("aa\nbb\ncc", [(3, 5)])
-    assert text == "aa\ncc" and all(text[n : n + k] == "aa\nbb\ncc"[o : o + k] for n, o, k in pieces) and pieces == [(0, 0, 3), (3, 6, 2)]
-    assert line_dedup.without(None, []) == (None, [])
+def test_line_dedup(spark):
+    a, b, c = words(12, 1), words(60, 2), words(25, 3)
+    table = AWKWARD + [(10, f"{a}\n{b}\n{a.upper()}!"), (11, f"é {b}\n\n{b}"), (12, b.replace(" ", ",  ")), (12, b), (None, a), (13, "short line\nshort line"), (14, f"{c}\nshort line\n{a}\nown end"), (15, c + "\n"), (None, b)]
+    for least in (line_dedup.MIN_WORDS, 1):
+        assert deduped(spark, table, min_words=least) == brute_dedup(table, least)
+
+
+def test_passages_in_mid_line(spark):
+    """Passages of 55 words that begin, end and are wrapped differently go from all documents but the first; the rest stays."""
+    r = random.Random(20)
+    shared = [words(55, 900 + k, 10**6).split() for k in range(4)]
+    table, clean = [], {}
+    for i in range(40):
+        mine = [words(r.randint(10, 60), 2000 + 10 * i + k, 10**6) for k in range(3)]
+        if i % 2:
+            p = [x + ("\n" if r.random() < 0.1 else " ") for x in shared[i % 4]]
+            table.append((i, f"{mine[0]} {''.join(p)}{mine[1]}.\n{mine[2]}"))
+        else:
+            clean[i] = "\n".join(mine) + f"\n{words(13, 5, 10**6)}"
+            table.append((i, clean[i]))
+    got = deduped(spark, table)
+    assert got == brute_dedup(table, line_dedup.MIN_WORDS)
+    for i, text, n, _, _ in got:
+        if i % 2 and i > 3:
+            assert 30 <= n <= 55
+        else:
+            assert n == 0 and text == dict(table)[i]
 
 
 # -- 3
