@@ -189,20 +189,61 @@ def test_pii_held_out():
     assert (p == y).mean() > 0.97 and ((p > 0) == (y > 0))[y > 0].mean() > 0.95
 
 
-def test_loopy_messages_are_exact_on_a_tree():
-    w = pii_crf.trained()
-    g = pii_crf.Graph([[0, 2], [0, 5], [0, 3]], np.array([[0, 1]]), np.array([[1, 2]]))
-    node, _ = pii_crf.beliefs(g, w, 60)
-    size = len(pii_crf.LABELS)
-    u = np.zeros((3, size))
-    np.add.at(u, g.rows, w["unary"][g.cols])
-    u[g.open_left] += w["chain"][0]
-    u[g.open_right] += w["chain"][:, 0]
-    s = (w["skip"] + w["skip"].T) / 2
-    joint = u[0][:, None, None] + u[1][None, :, None] + u[2][None, None, :] + w["chain"][:, :, None] + s[None]
-    p = np.exp(joint - joint.max())
-    p /= p.sum()
-    assert np.allclose(np.exp(node), [p.sum((1, 2)), p.sum((0, 2)), p.sum((0, 1))], atol=1e-6)
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def entities(text):
+    col = pa.array([text], pa.large_string())
+    return [(kind, text.encode()[s:e].decode()) for _, kind, s, e in pii_crf.spans(col, 0, 1, pii_crf.trained())]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 10, 20, 40, 100])
+def test_one_telling_mention_decides_all(n):
+    bare = " ".join(f"so {HEX} and" for _ in range(n))
+    assert entities(f'secret = "{HEX}" {bare}') == [("SECRET", HEX)] * (n + 1) == entities(f'{bare} secret = "{HEX}"')
+    assert entities(f"{bare} {'more words ' * 500} token={HEX}") == [("SECRET", HEX)] * (n + 1)
+    assert entities(bare) == []
+
+
+def test_kinds_of_pii():
+    want = {
+        "Contact Maria Gonzalez at home": [("NAME", "Maria Gonzalez")], "Dr. Maria Lopez came. Lopez left": [("NAME", "Maria Lopez"), ("NAME", "Lopez")],
+        "call 030 1234567 now": [("PHONE", "030 1234567")], "my key is abcdefghijklmnop": [("SECRET", "abcdefghijklmnop")], "password: correcthorse": [("SECRET", "correcthorse")],
+        "at 2001:db8::ff00:42:8329 is": [("IP", "2001:db8::ff00:42:8329")], "card 4111 1111 1111 1111 ok": [("CARD", "4111 1111 1111 1111")],
+        "IBAN DE89 3704 0044 0532 0130 00 end": [("IBAN", "DE89 3704 0044 0532 0130 00")], "the key is missing and the secret is safe, token of love. password of it": [],
+        "in 1999 at 12:30 we had 42 of 1234 items": [],
+    }
+    assert {t: entities(t) for t in want} == want
+
+
+def exact(g, w):
+    """Marginals by summing over all labellings."""
+    import itertools
+
+    unary, sides = pii_crf.potentials(g, w)
+    out = np.zeros_like(unary)
+    for y in itertools.product(range(unary.shape[1]), repeat=g.n):
+        p = np.exp(sum(unary[i, k] for i, k in enumerate(y)) + sum(m[y[a], y[b]] for e, m in sides for a, b in e))
+        for i, k in enumerate(y):
+            out[i, k] += p
+    return out / out.sum(1, keepdims=True)
+
+
+def test_loopy_messages_against_all_labellings(monkeypatch):
+    """Exact on trees; on graphs with cycles the same labels."""
+    monkeypatch.setattr(pii_crf, "LABELS", pii_crf.LABELS[:3])
+    r = np.random.default_rng(7)
+    for n in range(2, 7):
+        for cycles in (False, True):
+            feats = [[0, int(r.integers(1, 5))] for _ in range(n)]
+            keys = [(0, "same" if cycles and i % 2 else f"key{i}") for i in range(n)]
+            g = pii_crf.Graph(feats, np.array([(i, i + 1) for i in range(n - 1)]), keys)
+            w = {"unary": r.normal(size=(len(pii_crf._FEATURES), 3)), "chain": r.normal(size=(3, 3)), "skip": np.eye(3), "near": np.eye(3)}
+            got = np.exp(pii_crf.beliefs(g, w, 500, 1e-9)[0])
+            if cycles:
+                assert np.abs(got - exact(g, w)).max() < 0.1
+            else:
+                assert np.allclose(got, exact(g, w), atol=1e-6)
 
 
 # -- 4
