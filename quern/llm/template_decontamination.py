@@ -12,10 +12,12 @@ from quern.llm.shared import map_arrow, materialize, need, table
 
 #: Tokens of a template window; an item that is shorter is one window of its own length, from LEAST on.
 WINDOW, LEAST = 8, 3
-#: A window counts if at least this share of its tokens are words rather than slots.
+#: A window is a template if at least this share of its tokens are words; one of more slots says too little without
+#: their values and is hashed with them, so that it matches word for word only.
 LITERAL_SHARE = 0.5
-#: A document is contaminated by an item if this share of the item's windows match with consistent slots.
-MIN_SHARE = 0.4
+#: A document is contaminated by an item if this share of the item's windows match with consistent slots, or if a run
+#: of so many of its tokens stands there word for word.
+MIN_SHARE, RUN = 0.4, 13
 #: The share of slot assignments that must be one-to-one.
 SLOT_SHARE = 0.8
 #: The filter that documents' windows pass before the join has 2**BITS bits, whatever the benchmark's size.
@@ -113,21 +115,23 @@ def windows_of(col: pa.Array, sizes: tuple[int, ...], whole: bool, passes=None):
             ok = doc[:m] == doc[size - 1 :]
             if whole and size < WINDOW:
                 ok &= n_tokens[doc[:m]] == size
-            ok &= words[size:] - words[:m] >= LITERAL_SHARE * size
             at = np.flatnonzero(ok)
+            told = (words[size:] - words[:m])[at] >= LITERAL_SHARE * size
             h = np.zeros(at.size, np.uint64)
             for j in range(size):
-                h += token[at + j] * pw[j + 1]
-            h = ragged.mix(h + np.uint64(size))
+                h += np.where(told, token[at + j], value[at + j]) * pw[j + 1]
+            h = ragged.mix(h + np.uint64(size) + np.where(told, np.uint64(0), np.uint64(1 << 32)))
             if passes is not None:
                 ok = passes(h)
-                at, h = at[ok], h[ok]
+                at, h, told = at[ok], h[ok], told[ok]
             if not at.size:
                 continue
             first = np.searchsorted(doc, doc[at])
             count = np.bincount(doc[at], minlength=hi - lo)
             base = chars[w.text_at[doc[at]]]
-            slots = [value[i : i + size][kind[i : i + size] > 0].view(np.int64) for i in at.tolist()]
+            cell = at[:, None] + np.arange(size)
+            slot = (kind[cell] > 0) & told[:, None]
+            slots = np.split(value[cell][slot].view(np.int64), np.cumsum(slot.sum(1))[:-1])
             yield lo + doc[at], count[doc[at]], at - first, chars[start[at]] - base, chars[end[at + size - 1]] - base, h.view(np.int64), size, slots
 
 
@@ -145,12 +149,13 @@ def _windows(df: DataFrame, sizes, whole: bool, bitmap=None) -> DataFrame:
     return map_arrow(df.toDF("key", "text"), work, WINDOWS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE, slot_share: float = SLOT_SHARE, text: str = "text", key: str = "doc_id", item_text: str = "text", item: str = "item_id") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE, slot_share: float = SLOT_SHARE, run_tokens: int = RUN, text: str = "text", key: str = "doc_id", item_text: str = "text", item: str = "item_id") -> DataFrame:
     """Documents that hold a benchmark item, word for word or with other numbers, names and units.
 
     Columns: doc_id, item_id, n_windows (of the item, matched), n_item_windows, share, n_slots, slot_share
-    (of the slot assignments that are one-to-one), kind ('verbatim' or 'reparameterised'), and start, stop
-    in code points.  Every window of every document is looked up: those that pass a fixed-size filter of
+    (of the slot assignments that are one-to-one), kind ('verbatim' or 'reparameterised'), longest_run (tokens in a row
+    that stand there word for word), and start, stop in code points.  A document counts by `min_share` of an item's
+    windows or by a run of `run_tokens`, so that a part of a long item is found as well.  Every window of every document is looked up: those that pass a fixed-size filter of
     the benchmark's windows are joined by hash, counted for each document, item and diagonal (so that
     windows of one copy are judged together), and a copy counts if its slots take values one-to-one.  The
     join is an equi-join whose sides the engine sizes itself.
@@ -172,16 +177,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
     i, d = items.alias("i"), found.alias("d")
     pairs = d.join(i, "hash").select(
         F.col("d.key").alias("doc_id"), F.col("i.key").alias("item_id"), F.col("i.n_windows").alias("n_item_windows"), (F.col("d.pos") - F.col("i.pos")).alias("diagonal"),
-        F.col("i.pos").alias("pos"), F.col("d.start").alias("start"), F.col("d.stop").alias("stop"), F.arrays_zip(F.col("i.slots").alias("b"), F.col("d.slots").alias("v")).alias("slots"),
+        F.col("i.pos").alias("pos"), F.col("i.size").alias("size"), F.col("d.start").alias("start"), F.col("d.stop").alias("stop"), F.arrays_zip(F.col("i.slots").alias("b"), F.col("d.slots").alias("v")).alias("slots"),
     )
-    copies = pairs.groupBy("doc_id", "item_id", "n_item_windows", "diagonal").agg(F.collect_set("pos").alias("pos"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    same = F.when(~F.exists("slots", lambda x: x.b != x.v), F.col("pos"))
+    copies = pairs.groupBy("doc_id", "item_id", "n_item_windows", "diagonal").agg(F.collect_set("pos").alias("pos"), F.array_sort(F.collect_set(same)).alias("same"), F.max("size").alias("size"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     one_to_one = F.expr("least(size(array_distinct(transform(slots, x -> x.b))), size(array_distinct(transform(slots, x -> x.v))))")
     n = F.size("slots")
     copies = copies.withColumns({"n_slots": n, "slot_share": F.when(n == 0, 1.0).otherwise(one_to_one / n), "changed": F.exists("slots", lambda x: x.b != x.v)}).where(F.col("slot_share") >= slot_share)
+    begin = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def longer(state, pos):
+        run = F.when(pos == state.last + 1, state.run + 1).otherwise(1)
+        return F.struct(pos.alias("last"), run.alias("run"), F.greatest(state.best, run).alias("best"))
+
+    run = F.aggregate("same", begin, longer, lambda state: F.when(state.best > 0, state.best + F.col("size") - 1).otherwise(0))
+    copies = copies.withColumn("run", run)
     share = F.size(F.array_distinct(F.flatten(F.collect_list("pos"))))
-    out = copies.groupBy("doc_id", "item_id", "n_item_windows").agg(share.alias("n_windows"), F.max("n_slots").alias("n_slots"), F.min("slot_share").alias("slot_share"), F.min("changed").alias("changed"), F.min("start").alias("start"), F.max("stop").alias("stop"))
-    out = out.withColumn("share", F.col("n_windows") / F.col("n_item_windows")).where(F.col("share") >= min_share)
-    return out.select("doc_id", "item_id", "n_windows", "n_item_windows", "share", "n_slots", "slot_share", F.when(F.col("changed"), "reparameterised").otherwise("verbatim").alias("kind"), "start", "stop")
+    out = copies.groupBy("doc_id", "item_id", "n_item_windows").agg(share.alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("run").alias("longest_run"), F.min("slot_share").alias("slot_share"), F.min("changed").alias("changed"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    out = out.withColumn("share", F.col("n_windows") / F.col("n_item_windows")).where((F.col("share") >= min_share) | (F.col("longest_run") >= run_tokens))
+    return out.select("doc_id", "item_id", "n_windows", "n_item_windows", "share", "longest_run", "n_slots", "slot_share", F.when(F.col("changed"), "reparameterised").otherwise("verbatim").alias("kind"), "start", "stop")
 
 
 def op5_template_decontamination(spark, sf_dir: str) -> DataFrame:

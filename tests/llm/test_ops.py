@@ -297,6 +297,62 @@ def test_decontamination(spark):
     assert td.contaminated(docs(spark, []), bench).collect() == [] and td.contaminated(docs(spark, table), bench.limit(0)).collect() == []
 
 
+def brute_contaminated(table, bench):
+    """(doc_id, item_id) by comparing every window of every item with every window of every document."""
+
+    def windows(t, sizes=None):
+        w = ragged.words(pa.array([t or ""], pa.large_string()))
+        _, kind, value, _, _ = td.canonical(w)
+        token = list(zip(kind.tolist(), value.tolist()))
+        sizes = sizes or ([min(td.WINDOW, len(token))] if len(token) >= td.LEAST else [])
+        out = []
+        for n in sizes:
+            for i in range(len(token) - n + 1):
+                part = token[i : i + n]
+                told = sum(k == 0 for k, _ in part) >= td.LITERAL_SHARE * n
+                key = (n, told, *((k, v if k == 0 else 0) if told else v for k, v in part))
+                out.append((i, key, [v for k, v in part if k and told], n))
+        return out
+
+    found = set()
+    for item, b in bench:
+        own = windows(b)
+        for i, t in table:
+            copies = collections.defaultdict(list)
+            for p, key, slots, n in own:
+                for q, other, values, _ in windows(t, sorted({n for *_, n in own})):
+                    if key == other:
+                        copies[q - p].append((p, slots, values, n))
+            seen, longest = set(), 0
+            for parts in copies.values():
+                pairs = {x for _, s, v, _ in parts for x in zip(s, v)}
+                one = min(len({a for a, _ in pairs}), len({a for _, a in pairs}))
+                if pairs and one / len(pairs) < td.SLOT_SHARE:
+                    continue
+                seen |= {p for p, *_ in parts}
+                same = {p for p, s, v, _ in parts if s == v}
+                for p in same:
+                    n = 0
+                    while p + n in same:
+                        n += 1
+                    longest = max(longest, n + parts[0][3] - 1)
+            if own and (len(seen) / len(own) >= td.MIN_SHARE or longest >= td.RUN) and seen:
+                found.add((i, item))
+    return found
+
+
+def test_decontamination_against_all_windows(spark):
+    long = words(200, 44, 10**6).split()
+    bench = [(1, "What is 15 + 27 + 8 + 4 + 10 + 3"), (2, "Der Mann kaufte Brot Milch Butter Käse Wurst Obst"), (3, "Alice Bob Carol 1 2 3 4 5 6 7"), (4, "the cat sat on the mat today and then left"), (5, " ".join(long)), (6, "12 + 35 = 47; 13 + 4 = 17; 9 + 9 = 18"), (7, "Tom has 3 apples and Ann has 4 apples"), (8, None), (9, "In 2019 the firm Acme sold 12 kg of tea to Rome and 7 kg of it to Paris")]
+    table = [(100 + i, f"{words(12, 300 + i)} {t} {words(12, 400 + i)}") for i, t in bench if t]
+    table += [(200, " ".join(long[50:77])), (201, " ".join(long[50:60])), (202, "What is 1 + 2 + 3 + 4 + 5 + 6"), (203, "Tom has 8 apples and Bob has 9 apples"), (204, None), (205, ""), (206, words(300, 55)), (207, "In 1999 the firm Beta sold 30 kg of tea to Oslo and 9 kg of it to Bern")]
+    got = {(r.doc_id, r.item_id) for r in td.contaminated(docs(spark, table), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == brute_contaminated(table, bench)
+    # word for word all are found, and a part of 27 words of a long item
+    assert {(100 + i, i) for i, t in bench if t} <= got and (200, 5) in got and (207, 9) in got
+    assert not {201, 202, 206} & {i for i, _ in got}
+
+
 def test_slots_must_agree(spark):
     bench = spark.createDataFrame([(1, "we saw 1 of the 2 big old red dogs and 1 of the 2 small new blue cats")], "item_id long, text string")
     table = [(1, "we saw 7 of the 8 big old red dogs and 7 of the 8 small new blue cats"), (2, "we saw 7 of the 8 big old red dogs and 3 of the 5 small new blue cats")]
