@@ -379,6 +379,18 @@ def test_licenses(spark):
     assert text[a:b] == "Licensed under the Apache License, Version 2.0"
 
 
+@pytest.mark.parametrize("k", [0, 2, 4, 6, 10, 30, 60])
+def test_licenses_with_words_between(spark, k):
+    """The longest common subsequence is whole, however many words stand in the middle; each copy is a span of its own."""
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and t.startswith("Permission")).split()
+    noisy = " ".join([*mit[:43], *words(k, 3 + k, 10**6).split(), *mit[43:]])
+    table = [(1, f"{words(20, 1)}\n{noisy}\n{words(300, 2)}"), (2, f"{noisy} {noisy} {words(9, 4)} {noisy}"), (3, " ".join(mit[:50])), (4, " ".join(reversed(mit)))]
+    got = rows(license_scan.license_spans(docs(spark, table)))
+    assert [(i, name, s) for i, name, _, _, _, s in got] == [(1, "MIT", 1.0)] + [(2, "MIT", 1.0)] * 3
+    text, (a, b) = dict(table)[1], got[0][2:4]
+    assert text[a:b] == noisy.rstrip(".")
+
+
 def test_common_subsequence():
     def naive(a, b):
         if not a or not b:
