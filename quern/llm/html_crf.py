@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,8 @@ from quern.llm.shared import map_arrow, need, table
 TRAIN_PAGES, STEPS = 320, 150
 SCHEMA = "page_id long, title string, text string, n_blocks int, n_content int"
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _CLASS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strike strong sub sup time tt u var wbr img input label".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -39,89 +41,151 @@ _SIGN = re.compile(r"(?i)©|\(c\)|copyright|all rights reserved|privacy|terms of
 
 
 class Block:
-    """A leaf block: its text and the state of the tree where it stands."""
+    """A leaf block: its text, the kinds of its ancestors, the nearest of them, and what their classes hint at."""
 
-    __slots__ = ("text", "tags", "hints", "link", "size")
+    __slots__ = ("text", "tags", "leaf", "hints", "link", "size")
 
-    def __init__(self, text: str, tags: tuple[str, ...], hints: str, link: int, size: int):
-        self.text, self.tags, self.hints, self.link, self.size = text, tags, hints, link, size
+    def __init__(self, text: str, tags: tuple[str, ...], leaf: str | None, hints: tuple[bool, ...], link: int, size: int):
+        self.text, self.tags, self.leaf, self.hints, self.link, self.size = text, tags, leaf, hints, link, size
+
+
+def _markup(page: str):
+    """(text before, closing, name, attributes) of each tag in order, and the text after the last one.
+
+    Comments and declarations have no name.  A quote that is never closed ends with its tag, at the next >;
+    a < without any > after it is text.  No part of the page is looked at more often than a few times.
+    """
+    at = begin = 0
+    last = {c: page.rfind(c) for c in "><\"'"}
+    while (i := page.find("<", begin)) >= 0:
+        begin = i + 1
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            yield page[at:i], "", None, ""
+            at = begin = end + 3 if end >= 0 else len(page)
+            continue
+        if i > last[">"]:
+            break
+        if page[i + 1 : i + 2] in ("!", "?"):
+            yield page[at:i], "", None, ""
+            at = begin = page.find(">", i) + 1
+            continue
+        m = _TAG.match(page, i)
+        if not m:
+            continue
+        k = m.end()
+        while True:
+            c = _MARK.search(page, k)
+            if not c or c[0] == ">":
+                break
+            # the value ends with the same quote, if there is one
+            k = page.find(c[0], c.end()) + 1 if last[c[0]] >= c.end() else c.end()
+        end = c.start() if c else page.find(">", m.end())
+        if end < 0:
+            continue
+        yield page[at:i], m[1], m[2].lower(), page[m.end() : end]
+        at = begin = end + 1
+        if m[2].lower() in _RAW and not m[1]:
+            shut = re.compile(rf"</{m[2]}\s*>", re.I).search(page, at)
+            at = begin = shut.end() if shut else len(page)
+    yield page[at:], "", None, ""
+
+
+class _Stack:
+    """Open elements, with what a block needs of them kept up to date."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.marks: list[tuple[bool, ...]] = []
+        self.at: dict[str, list[int]] = {}  # places of each name
+        self.outer: list[int] = []  # places of elements that aren't inline
+        self.hints = [0] * len(_HINTS)
+
+    def push(self, name: str, hint: str) -> None:
+        mark = tuple(bool(hint) and bool(r.search(hint)) for r in _HINTS.values())
+        self.at.setdefault(name, []).append(len(self.names))
+        if name not in _INLINE:
+            self.outer.append(len(self.names))
+        self.names.append(name)
+        self.marks.append(mark)
+        self.hints = [n + m for n, m in zip(self.hints, mark)]
+
+    def cut(self, depth: int) -> None:
+        for name, mark in zip(reversed(self.names[depth:]), reversed(self.marks[depth:])):
+            self.at[name].pop()
+            if name not in _INLINE:
+                self.outer.pop()
+            if any(mark):
+                self.hints = [n - m for n, m in zip(self.hints, mark)]
+        del self.names[depth:], self.marks[depth:]
+
+    def close(self, name: str) -> None:
+        """A closing tag; an inline one closes no block, and one without its opening nothing."""
+        if self.at.get(name):
+            depth = self.at[name][-1]
+            if name not in _INLINE or not self.outer or self.outer[-1] < depth:
+                self.cut(depth)
+
+    def implied(self, name: str) -> None:
+        """What the opening tag of a block closes."""
+        shut, stop = _CLOSES[name]
+        if name == "li":
+            floor = max((self.at[t][-1] for t in stop if self.at.get(t)), default=-1)
+            over = [p[i] for t in shut if (p := self.at.get(t)) and (i := bisect_right(p, floor)) < len(p)]
+            if over:
+                self.cut(min(over))
+            return
+        while self.outer and self.names[self.outer[-1]] in shut and self.names[self.outer[-1]] not in stop:
+            self.cut(self.outer[-1])
+
+    def tags(self) -> tuple[tuple[str, ...], str | None]:
+        have = [(p[-1], t) for t in _WITHIN if (p := self.at.get(t))]
+        return tuple(t for _, t in have), max(have)[1] if have else None
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """Text between block-level tags, in order, with its ancestors; the content of scripts, styles and comments is no text.
 
     Open elements are closed as HTML implies (a paragraph by the next block, a list item by the next), and
-    a closing tag without its opening is passed over, so any input gives a list.
+    a closing tag without its opening is passed over, so any input gives a list, in time in proportion to its length.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = _Stack()
     parts: list[str] = []
     state = [0, 0]  # characters of the block, those of them in links
-    in_link = 0
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack if t not in _INLINE), " ".join(h for _, h in stack if h), state[1], state[0]))
+                out.append(Block(text, *stack.tags(), tuple(n > 0 for n in stack.hints), state[1], state[0]))
             parts.clear()
         state[0] = state[1] = 0
 
-    def add(raw: str) -> None:
+    for raw, closing, name, attributes in _markup(page):
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             ink = len(text) - text.count(" ") - text.count("\n")
             state[0] += ink
-            if in_link:
+            if stack.at.get("a"):
                 state[1] += ink
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
         if not name:
             continue
-        name = name.lower()
-        if m[1]:
-            if name not in _INLINE:
-                flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if depth >= 0:
-                if name not in _INLINE or all(t in _INLINE for t, _ in stack[depth:]):
-                    in_link -= sum(t == "a" for t, _ in stack[depth:])
-                    del stack[depth:]
+        if name not in _INLINE:
+            flush()
+        if closing:
+            stack.close(name)
             continue
         if name in _RAW:
-            if name not in _INLINE:
-                flush()
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
             continue
-        if name not in _INLINE:
-            flush()
-            if name in _CLOSES:
-                shut, stop = _CLOSES[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in stop:
-                        break
-                    if stack[i][0] in shut:
-                        in_link -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                    elif stack[i][0] not in _INLINE and name != "li":
-                        break
-        if name in _VOID or m[3].endswith("/"):
+        if name in _CLOSES:
+            stack.implied(name)
+        if name in _VOID or attributes.endswith("/"):
             if name in ("br", "hr"):
                 parts.append(" ")
             continue
-        hint = " ".join(filter(None, (x for c in _CLASS.findall(m[3]) for x in c))) if m[3] else ""
-        stack.append((name, hint))
-        in_link += name == "a"
+        stack.push(name, " ".join(filter(None, (x for c in _CLASS.findall(attributes) for x in c))) if attributes else "")
     flush()
     return out
 
@@ -130,12 +194,11 @@ def features(blocks: list[Block]) -> list[list[int]]:
     """Indices of the features of each block."""
     out, before = [], None
     for i, b in enumerate(blocks):
-        tags = set(b.tags)
-        leaf = next((t for t in reversed(b.tags) if t in _WITHIN), None)
-        f = [0, *(_AT[f"in_{t}"] for t in _WITHIN if t in tags)]
+        leaf = b.leaf
+        f = [0, *(_AT[f"in_{t}"] for t in b.tags)]
         if leaf:
             f.append(_AT[f"leaf_{leaf}"])
-        f += [_AT[k] for k, r in _HINTS.items() if b.hints and r.search(b.hints)]
+        f += [_AT[k] for k, yes in zip(_HINTS, b.hints) if yes]
         words = b.text.count(" ") + 1
         f.append(_AT["words_1_3" if words < 4 else "words_4_9" if words < 10 else "words_10_24" if words < 25 else "words_25"])
         share = b.link / max(1, b.size)

@@ -258,6 +258,27 @@ def test_html(spark):
     assert html_crf.extract_content(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("unit", ['<a href="x ', "<div>x", "<b>x", "<ul><div><li>x", "</b>x", "<!x", "<!-- x", "<p><b>x</p>", "<a title='x>", "<b><p></b>x", "<", "x y ", '<td "', "<script>x", "<x y=\"'>"])
+def test_long_pages_take_time_in_proportion(unit):
+    import time
+
+    page = unit * (5_000_000 // len(unit))
+    began = time.perf_counter()
+    html_crf.leaf_blocks(page)
+    assert time.perf_counter() - began < 30
+    began = time.perf_counter()
+    html_crf.leaf_blocks("<b>" * 20_000 + "<div>" * 20_000 + page[:200_000])
+    assert time.perf_counter() - began < 5
+
+
+def test_broken_tags():
+    texts = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    assert texts('<p>one</p><a href="x>two</a><p>three</p>') == ["one", "two", "three"]
+    assert texts("<p>1 < 2 <b>and") == ["1 < 2 and"] and texts("a <b") == ["a <b"] and texts("<!x") == ["<!x"]
+    assert texts('<p title="a>b">x</p><!-- <p>no --><p class=\'y\'>z') == ["x", "z"]
+    assert html_crf.leaf_blocks("<ul><li><div>x<li>y</ul>")[1].tags == ("ul", "li")
+
+
 def test_html_held_out():
     w, step = html_crf.trained()
     right = total = 0
