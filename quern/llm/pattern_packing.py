@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import map_arrow, materialize, need, table
+from quern.llm.token_counts import count_tokens
 
-#: A bin holds so many words; lengths are counted in classes of STEP words, rounded up.
+#: A bin holds so many tokens; lengths are counted in classes of STEP tokens, rounded up.
 CAPACITY, STEP = 2048, 32
 #: Documents are numbered within their class bucket by bucket; a bucket holds one document in so many, whatever their number.
 BUCKET_ROWS = 50_000
@@ -99,26 +100,29 @@ def plan(histogram: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, step: int = STEP, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A bin and slot for every document: (doc_id, piece, start, length, bin, slot), in words.
+def pack(docs: DataFrame, capacity: int = CAPACITY, step: int = STEP, text: str = "text", key: str = "doc_id", unit: str = "tokens") -> DataFrame:
+    """A bin and slot for every document: (doc_id, piece, start, length, bin, slot), in tokens (`token_counts`) or words.
 
-    A document longer than a bin is cut into pieces of `capacity` words and a rest, which are packed like
-    documents; `start` is the piece's first word.  Lengths go into classes of `step` words.  The histogram
+    A document longer than a bin is cut into pieces of `capacity` tokens and a rest, which are packed like
+    documents; `start` is the piece's first token.  Lengths go into classes of `step` tokens.  The histogram
     of classes, counted over all documents, is fitted by patterns on the driver (its size is that of the
     classes, not of the corpus), which gives every class a list of runs of slots.  Documents are numbered
     within their class by bucket offsets and ranks inside hash buckets, so no task sees a whole class, and
     take the slots of their number.
 
-    A text that is null or without words takes no room: its bin and slot are null.  Null keys and
+    A text that is null or without tokens takes no room: its bin and slot are null.  Null keys and
     repeated rows are packed like others, each on its own; an empty table gives an empty result; other
     columns are ignored.
     """
     if capacity % step:
         raise ValueError("capacity must be a multiple of step")
     spark, classes = docs.sparkSession, capacity // step
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
-    length = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(words)
-    sized = need(docs, key, text).toDF("doc_id", "text").select("doc_id", length.alias("n"))
+    own = need(docs, key, text).toDF("doc_id", "text")
+    if unit == "tokens":
+        sized = count_tokens(own).select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n"))
+    else:
+        words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+        sized = own.select("doc_id", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(words).alias("n"))
     full = F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / capacity).cast("int")
     cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), full)).alias("piece"))
     cut = cut.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("length"))
@@ -171,6 +175,13 @@ def _runs(bins: list[tuple[int, np.ndarray]], classes: int) -> dict[int, tuple[n
     return {c: tuple(np.array(x, np.int64) for x in r) for c, r in runs.items()}
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """The bins of `pack` as sequences: (bin, length, parts array<struct<slot, doc_id, piece, start, length>>), in the
+    order of slots.  A bin has no more parts than tokens; documents without any are in none."""
+    part = F.struct("slot", "doc_id", "piece", "start", "length")
+    return packed.where("bin is not null").groupBy("bin").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(part)).alias("parts"))
+
+
 def op9_pattern_packing(spark, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 

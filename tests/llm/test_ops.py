@@ -602,7 +602,7 @@ def test_dropping_ids(spark):
 def test_packing(spark):
     r = random.Random(9)
     table = AWKWARD + [(100 + i, " ".join(["w"] * max(1, int(r.lognormvariate(5, 1.2))))) for i in range(400)]
-    got = pattern_packing.pack(docs(spark, table)).collect()
+    got = pattern_packing.pack(docs(spark, table), unit="words").collect()
     lengths = collections.defaultdict(list)
     for p in got:
         lengths[p.doc_id].append(p.length)
@@ -629,6 +629,18 @@ def test_packing(spark):
     assert len(free) <= len(bins) <= 1.12 * len(free) + 2
 
 
+def test_packing_of_tokens(spark):
+    table = [(i, words(n, i)) for i, n in enumerate([1, 5, 40, 300, 300, 2000, 7000, 12])] + [(8, None), (9, "")]
+    counts = {r.doc_id: r.n_tokens or 0 for r in token_counts.count_tokens(docs(spark, table)).collect()}
+    packed = pattern_packing.pack(docs(spark, table))
+    got = collections.Counter()
+    for p in packed.collect():
+        got[p.doc_id] += p.length
+    assert dict(got) == counts
+    whole = pattern_packing.sequences(packed).collect()
+    assert sum(s.length for s in whole) == sum(counts.values()) and all(s.length == sum(p.length for p in s.parts) <= pattern_packing.CAPACITY and [p.slot for p in s.parts] == list(range(len(s.parts))) for s in whole)
+
+
 def test_plan_covers_the_histogram():
     r = np.random.default_rng(1)
     for top in (1, 50, 10_000):
