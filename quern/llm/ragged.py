@@ -17,6 +17,7 @@ import pyarrow as pa
 
 #: Texts are handled in slices of about this many bytes, which bounds a worker's memory.
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1 << 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -69,12 +70,12 @@ def lower_bytes(raw: np.ndarray) -> np.ndarray:
 
 
 def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes; a longer text is a range of its own."""
+    """Row ranges of about `limit` bytes and at most SLICE_ROWS rows; a longer text is a range of its own."""
     off = offsets(col)
     i, n = 0, len(col)
     while i < n:
         j = int(np.searchsorted(off, off[i] + limit, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, i + SLICE_ROWS)
         yield i, j
         i = j
 
