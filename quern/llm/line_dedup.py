@@ -16,7 +16,7 @@ MIN_WORDS = 20
 #: Besides lines, so many words from each anchor on are a unit: passages that begin and end in mid-line have no whole
 #: lines of their own.  Anchors are the first words of lines and one in EVERY words, by the lengths of the next four.
 WINDOW, EVERY, WEIGHTS = 16, 6, (1, 3, 5, 11)
-UNITS = "h long, rank long, print long, at long, again boolean"
+UNITS = "h long, rank long, at long, again boolean"
 
 _LAST = (1 << 63) - 1
 
@@ -51,11 +51,11 @@ def unit_ranges(w: ragged.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Units of (rank, print, text): (h, rank, print, at, again).
+    """Units of (rank, print, text): (h, rank, at, again).
 
     A unit is a line or WINDOW words from an anchor on, normalised to its words (runs of letters, digits
-    and non-ASCII characters, in lower case); h is its digest, and `at` holds its first and its end
-    word, 32 bits each.  `again` marks what stands earlier in the same text.
+    and non-ASCII characters, in lower case); h is its digest, and `at` holds the text's print (32 bits), the
+    unit's first word (31) and its kind.  `again` marks what stands earlier in the same text.
     """
 
     def work(it):
@@ -70,20 +70,19 @@ def units(docs: DataFrame) -> DataFrame:
                 order = np.lexsort((a, h, doc))
                 again = np.zeros(h.size, bool)
                 again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-                first = w.first[doc]
-                at = (a - first) << 32 | (b - first)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rank[lo + doc]), pa.array(prints[lo + doc]), pa.array(at), pa.array(again)], names=["h", "rank", "print", "at", "again"])
+                at = prints[lo + doc].astype(np.int64) << 32 | (a - w.first[doc]) << 1 | kind
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rank[lo + doc]), pa.array(at), pa.array(again)], names=["h", "rank", "at", "again"])
 
     return map_arrow(docs, work, UNITS)
 
 
 def _keyed(key: Column, text: Column) -> list[Column]:
     """What tells texts apart and orders them: a null key is last; rows of one key and text are one."""
-    return [F.coalesce(key.cast("long"), F.lit(_LAST)).alias("rank"), F.xxhash64(text).alias("print")]
+    return [F.coalesce(key.cast("long"), F.lit(_LAST)).alias("rank"), F.hash(text).alias("print")]
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(rank, print, spans) of the texts with units that stand earlier, spans as `units` has them in `at`.
+    """(rank, print, spans) of the texts with units that stand earlier; a span is the unit's first word and kind.
 
     Digests are grouped over the whole table: units are written once to the shared folder, counted per
     digest with map-side aggregation, and only digests of two texts or more are joined back.
@@ -91,8 +90,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     every = materialize(units(docs), "line-units")
     own = every.where("not again").drop("again")
     twice = own.groupBy("h").agg(F.count("*").alias("n"), F.min("rank").alias("keep")).where("n > 1").drop("n")
-    later = own.join(twice, "h").where("rank > keep").select("rank", "print", "at").unionByName(every.where("again").select("rank", "print", "at"))
-    return later.groupBy("rank", "print").agg(F.collect_set("at").alias("spans"))  # as many as a text has words, at most
+    later = own.join(twice, "h").where("rank > keep").select("rank", "at").unionByName(every.where("again").select("rank", "at"))
+    # as many spans as a text has units, at most
+    return later.groupBy("rank", F.shiftright("at", 32).cast("int").alias("print")).agg(F.collect_set(F.expr("cast(at & 4294967295 as int)")).alias("spans"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -126,7 +126,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
                 w = ragged.words(col, lo, hi)
                 doc = np.repeat(np.arange(hi - lo), count[lo:hi])
                 own = at[before[lo] : before[hi]]
-                new, gone, runs, pieces = _without(w, doc, own >> 32, own & 0xFFFFFFFF, min_words)
+                new, gone, runs, pieces = _without(w, doc, own >> 1, own & 1, min_words)
                 new = pa.Array.from_buffers(pa.large_string(), hi - lo, [None, *map(pa.py_buffer, new)])
                 new = pa.compute.if_else(pa.compute.is_valid(col.slice(lo, hi - lo)), new, None).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), new, pa.array(gone), runs, pieces], names=["doc_id", "text", "n_removed", "removed", "pieces"])
@@ -134,12 +134,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     return map_arrow(joined, work, f"doc_id long, text string, n_removed long, removed {span}, pieces {span}")
 
 
-def _without(w: ragged.Words, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, min_words: int):
-    """The texts of a slice without runs of the words lo..hi of text `doc`: (offsets, bytes), words gone, runs, pieces."""
+def _without(w: ragged.Words, doc: np.ndarray, at: np.ndarray, kind: np.ndarray, min_words: int):
+    """The texts of a slice without runs of the units that begin at these words of text `doc`: (offsets, bytes), words gone, runs, pieces."""
     n, texts = w.hash.size, w.text_at.size - 1
+    a, b, of = unit_ranges(w)
+    lines = of == 0
+    begin = w.first[doc] + at
+    end = np.where(kind == 1, begin + WINDOW, np.append(b[lines], n)[np.searchsorted(a[lines], begin)])
     mark = np.zeros(n + 1, np.int64)
-    np.add.at(mark, w.first[doc] + lo, 1)
-    np.add.at(mark, w.first[doc] + hi, -1)
+    np.add.at(mark, begin, 1)
+    np.add.at(mark, end, -1)
     hit = np.cumsum(mark)[:n] > 0
     new = np.ones(n, bool)
     new[1:] = (hit[1:] != hit[:-1]) | (w.doc[1:] != w.doc[:-1])
