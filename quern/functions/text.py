@@ -19,14 +19,13 @@ SPACE = r"\s\p{Zs}"
 PUNCTUATION = r"!-/:-@\[-`{-~"
 
 STOP_WORDS_ENGLISH = tuple(
-    sorted(
-        """yet your you would will with whom who while which where when what were was very used us under too to through those this
-        they these then them their that the than such some so should she shall same own over out other our ought or only once on of off
-        nor not no neither need my must most more might me may just its it is into in if i how his him her he have has had from further
-        for few every either each during does do did dare could can by but both between below being before been be because at as are any
-        and an all again after above a""".split()
-    )
+    """a above after again all an and any are as at be because been before being below between both but by can could dare did do does
+    during each either every few for from further had has have he her him his how i if in into is it its just may me might more most
+    must my need neither no nor not of off on once only or other ought our out over own same shall she should so some such than that
+    the their them then these they this those through to too under us used very was were what when where which while who whom will
+    with would yet you your""".split()
 )
+#: Search words in their own right, so the default list leaves them out.
 _NOT_DEFAULT = {"must", "you"}
 STOP_WORDS_CHINESE = tuple("一 一个 上 不 也 了 人 会 你 到 去 和 在 好 就 很 我 是 有 没有 的 看 着 自己 要 说 这 都".split())
 STOP_WORDS = tuple(w for w in STOP_WORDS_ENGLISH if w not in _NOT_DEFAULT) + STOP_WORDS_CHINESE
@@ -50,10 +49,20 @@ def fold_full(text: pd.Series) -> pd.Series:
     return text.map(fold_string, na_action="ignore")
 
 
-def fold(text: Column, full: bool = False) -> Column:
-    """Case folding.  The built-in form lowers and spells ß as ss, which is the same for Latin text that is
-    already composed; `full` is exact for all of Unicode and leaves the JVM."""
-    return fold_full(text) if full else F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+#: Texts of these characters alone fold by lower case and ß; all others leave the JVM.
+_SIMPLE = "^[\\x00-\\x7fÀ-ÖØ-öø-ÿŒœ‘’“”–—]*$"
+
+
+def fold(text: Column, full: bool = True) -> Column:
+    """Compatibility case folding: in the JVM for Western European text, by `fold_full` for what has other characters.
+
+    Without `full` all text is only lowered, with ß as ss.
+    """
+    plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    if not full:
+        return plain
+    simple = text.rlike(_SIMPLE)
+    return F.when(simple, plain).otherwise(fold_full(F.when(~simple, text)))
 
 
 @dataclass(frozen=True)
@@ -73,7 +82,7 @@ class Analyzer:
     min_token_length: int = 1
     stop_words: tuple[str, ...] = ()
     stemming: bool = False
-    full_fold: bool = False
+    full_fold: bool = True
 
     def __post_init__(self):
         if self.kind not in REGISTRY:
@@ -94,7 +103,8 @@ class Analyzer:
             out = [(w, i) for i, w in enumerate(words) if len(w) >= self.min_token_length]
         else:
             if self.kind == "jieba":
-                return _jieba(text)
+                out = [x for x in _jieba(self, folded) if len(x[0]) >= self.min_token_length and x[0] not in self.stop_words]
+                return [(porter_stem(t), p) for t, p in out] if self.stemming else out
             run = re.compile(f"[{CJK}]+|[^\\s{CJK}{CJK_PUNCTUATION}{_PY_PUNCTUATION}]+")
             for i, m in enumerate(run.finditer(folded)):
                 r = m[0]
@@ -137,22 +147,54 @@ def _ngram(a: Analyzer, text: Column) -> Column:
     return _drop(a, tokens)
 
 
-def _jieba(text: str) -> list[tuple[str, int]]:
+_HAN = re.compile("[㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f]+$")
+
+
+def _jieba(a: Analyzer, folded: str) -> list[tuple[str, int]]:
+    """Runs of Han characters are cut by the package of that name; other CJK runs, such as those with kana, give n-grams, as all
+    do where the package is missing; other runs are words.  Every piece of a cut run has a position of its own."""
     try:
         import jieba
-    except ImportError as e:
-        raise RuntimeError("the analyzer 'jieba' needs the package of that name") from e
-    return [(w, i) for i, w in enumerate(jieba.cut_for_search(text)) if w.strip() and not re.fullmatch(r"\W+", w)]
+    except ImportError:
+        jieba = None
+    out: list[tuple[str, int]] = []
+    pos = 0
+    for m in re.finditer(f"[{CJK}]+|[^\\s{CJK}{CJK_PUNCTUATION}{_PY_PUNCTUATION}]+", folded):
+        r = m[0]
+        if not re.match(f"[{CJK}]", r):
+            out.append((r, pos))
+        elif jieba is not None and _HAN.match(r):
+            pieces = [w for w in jieba.cut_for_search(r) if w.strip()]
+            out += [(w, pos + i) for i, w in enumerate(pieces)]
+            pos += max(0, len(pieces) - 1)
+        else:
+            out += [(r[j : j + n], pos) for n in range(a.min_n, a.max_n + 1) for j in range(len(r) - n + 1)]
+        pos += 1
+    return out
 
 
 def _segmented(a: Analyzer, text: Column) -> Column:
+    bare = replace(a, stop_words=(), min_token_length=1, stemming=False)
+
     @F.pandas_udf("array<struct<term:string,pos:int>>")
     def segment(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [{"term": t, "pos": p} for t, p in _jieba(x or "")])
+        return s.map(lambda x: [{"term": t, "pos": p} for t, p in _jieba(bare, fold_string(x) if bare.full_fold else x.lower().replace("ß", "ss"))] if x else [])
 
     return _drop(a, segment(text))
 
 
+def byte_offsets(text: str, terms: list[tuple[str, int]]) -> list[tuple[str, int, int, int]]:
+    """(term, position, first byte, end byte) in the folded text of analysed terms, in order; grams of a run overlap."""
+    folded, out, at, run = fold_string(text).encode(), [], 0, -1
+    for term, pos in terms:
+        raw = term.encode()
+        i = folded.find(raw, at if pos != run else max(0, at))
+        i = folded.find(raw) if i < 0 else i
+        out.append((term, pos, i, i + len(raw)))
+        at, run = (i + len(raw) if pos != run else i), pos
+    return out
+
+
 #: Analyzers by name; `register` adds further ones.
 REGISTRY: dict[str, Callable[[Analyzer, Column], Column]] = {"whitespace": _whitespace, "ngram": _ngram, "jieba": _segmented}
 

@@ -45,11 +45,17 @@ def ranked(hits: DataFrame, k: int, by: list[str] | None = None, ascending_ord:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, such as one small file, over all cores; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Index:
     """An inverted index over documents with the columns ord and text, and optionally meta.
 
     `tokens` holds a row for each document: ord, terms with positions, and dl, the number of terms.  It is
-    derived from the documents as they are, or read from Parquet where `save` put it.
+    derived from the documents as they are; `stored.StoredIndex` keeps it by term.
     """
 
     def __init__(self, tokens: DataFrame, analyzer: Analyzer, metadata: DataFrame | None = None):
@@ -58,23 +64,20 @@ class Index:
     @classmethod
     def of(cls, docs: DataFrame, analyzer: Analyzer | None = None) -> Index:
         analyzer = analyzer or Analyzer()
+        docs = spread(docs)
         tokens = docs.select("ord", analyzer.tokens(F.col("text")).alias("tokens"))
         if analyzer.stemming:
             tokens = _stemmed(tokens, docs, analyzer)
         return cls(tokens.withColumn("dl", F.size("tokens").cast("bigint")), analyzer, docs.select("ord", "meta") if "meta" in docs.columns else None)
 
-    def save(self, path: str) -> None:
-        self.tokens.write.mode("overwrite").parquet(path)
-
-    @classmethod
-    def load(cls, spark, path: str, analyzer: Analyzer) -> Index:
-        return cls(spark.read.parquet(path), analyzer)
-
     def field_stats(self) -> DataFrame:
         """One row: documents and total length."""
         return self.tokens.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("sum_dl"))
 
-    def exploded(self) -> DataFrame:
+    def exploded(self, words: list[str] | None = None) -> DataFrame:
+        """(ord, dl, term, pos) of these words or of all."""
+        if words is not None:
+            return self.exploded().where(F.col("term").isin(words))
         # the outer form, since for the inner one the planner tests the tokens' number first, and makes them twice
         return self.tokens.select("ord", "dl", F.explode_outer("tokens").alias("t")).where("t is not null").select("ord", "dl", "t.term", "t.pos")
 
@@ -99,12 +102,13 @@ class Index:
 
 
 def _small(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Broadcast a table of known or counted size if that is within bounds."""
-    return F.broadcast(df) if (df.count() if n is None else n) <= BROADCAST_TERMS else df
+    """Broadcast a table of known size if that is within bounds; of unknown size, the engine decides by what it measures."""
+    return F.broadcast(df) if n is not None and n <= BROADCAST_TERMS else df
 
 
-#: Rows up to this many become literals of the plan; more are sent as a table.
-LITERAL_ROWS = 2_000
+#: Rows up to this many become literals of the plan; more are sent as a table.  Terms that a pattern expands to, up to so
+#: many, are looked up once and held by the driver.
+LITERAL_ROWS, EXPANDED = 256, 20_000
 
 
 def local(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -128,10 +132,12 @@ class Terms:
     table: DataFrame
     n: int | None = None
     words: DataFrame | None = None
+    names: list[str] | None = None
 
     @classmethod
     def of(cls, spark, rows: list[tuple]) -> Terms:
-        return cls(local(spark, rows, "query_id bigint, term string"), len(rows), local(spark, [(t,) for t in dict.fromkeys(t for _, t in rows)], "term string"))
+        names = list(dict.fromkeys(t for _, t in rows))
+        return cls(local(spark, rows, "query_id bigint, term string"), len(rows), local(spark, [(t,) for t in names], "term string"), names)
 
     def distinct(self) -> DataFrame:
         return self.table.select("term").distinct() if self.words is None else self.words
@@ -203,7 +209,7 @@ def search_near(index: Index, query: str, slop: int = 0, k: int = 10, params: Bm
     if not terms:
         return index.tokens.limit(0).select("ord", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     own = list(dict.fromkeys(terms))
-    rows = index.exploded().where(F.col("term").isin(own)).groupBy("ord", "dl").agg(*[F.sort_array(F.collect_list(F.when(F.col("term") == t, F.col("pos")))).alias(f"p{i}") for i, t in enumerate(own)])
+    rows = index.exploded(own).groupBy("ord", "dl").agg(*[F.sort_array(F.collect_list(F.when(F.col("term") == t, F.col("pos")))).alias(f"p{i}") for i, t in enumerate(own)])
     lists = [F.col(f"p{own.index(t)}") for t in terms]
 
     def follows(start: Column) -> Column:
@@ -246,7 +252,12 @@ def bool_search(index: Index, query: str, k: int = 10, params: Bm25 | None = Non
 
 
 def _expanded(index: Index, matching: DataFrame, k: int, params: Bm25 | None) -> DataFrame:
-    terms = Terms(matching.select(F.lit(0).cast("bigint").alias("query_id"), "term").distinct())
+    """The vocabulary is looked through once: up to EXPANDED matches are held by the driver, more are joined as a table."""
+    some = [r.term for r in matching.select("term").distinct().limit(EXPANDED + 1).collect()]
+    if len(some) <= EXPANDED:
+        terms = Terms.of(index.tokens.sparkSession, [(0, t) for t in some])
+    else:
+        terms = Terms(matching.select(F.lit(0).cast("bigint").alias("query_id"), "term").distinct(), BROADCAST_TERMS + 1)
     return ranked(score_terms(index, terms, params).drop("query_id"), k)
 
 
@@ -364,4 +375,4 @@ def search_text_highlight(index: Index, docs: DataFrame, query: str, k: int = 10
         return text.map(lambda x: [{"text": t, "score": s} for t, s in highlight_text(x or "", terms, analyzer, **options)])
 
     hits = search_text(index, query, k, params).drop("query_id")
-    return docs.select("ord", "text").join(F.broadcast(hits), "ord").select("ord", "score", "rank", snippets("text").alias("highlights"))
+    return docs.select("ord", "text").join(_small(hits, k), "ord").select("ord", "score", "rank", snippets("text").alias("highlights"))

@@ -39,16 +39,50 @@ def similarity(metric: str, a: Column, b: Column) -> Column:
 
 
 def search_vector(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", where=None, ef: int = 0) -> DataFrame:
-    """The k most similar of (ord, vector[, meta]): exact, in one pass and a top-k; `ef` is for approximate indexes and has no effect.
+    """The k most similar of (ord, vector[, meta]): exact, in one pass; each Arrow batch is one product and passes its k best on.
 
-    A zero query has no neighbours under cosine; neither has a zero vector, nor one of another dimension.
+    `ef` is for approximate indexes (`ann`) and has no effect.  A zero query has no neighbours under cosine; neither
+    has a zero vector, nor one of another dimension.
     """
     del ef
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
     if where is not None:
         vectors = vectors.where(passes(where, F.col("meta")))
-    q = F.array(*[F.lit(float(x)) for x in query])
-    same = vectors.where(F.size("vector") == len(query))
-    return ranked(same.select("ord", F.round(similarity(metric, F.col("vector"), q), DIGITS).alias("score")).where("score is not null"), k, ascending_ord=True)
+    q = np.array([query], np.float64)
+
+    def work(it):
+        for ids, v in _matrices(it, q.shape[1]):
+            _, top, score = best(np.zeros(1, np.int64), q, ids, v, k, metric)
+            yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(score)], names=["ord", "score"])
+
+    return ranked(vectors.select(F.col("ord").cast("bigint"), "vector").mapInArrow(work, "ord long, score double"), k, ascending_ord=True)
+
+
+METRICS = ("dot", "cosine", "l2")
+
+
+def _matrices(it, dim: int):
+    """(ids, vectors of this dimension as a matrix) of batches (id, vector)."""
+    for b in it:
+        col = b.column(1)
+        at = np.flatnonzero(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0)) == dim)
+        if at.size and dim:
+            yield np.asarray(b.column(0))[at], np.asarray(col.take(pa.array(at)).flatten()).astype(np.float64).reshape(-1, dim)
+
+
+def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k most similar vectors of each query; ties by id."""
+    if metric == "l2":
+        s = 0.0 - np.stack([((v - x) ** 2).sum(1) for x in q])
+    else:
+        s = _unit(q) @ _unit(v).T if metric == "cosine" else q @ v.T
+    s = np.round(s, DIGITS) + 0.0
+    s[np.isnan(s)] = -np.inf
+    top = np.stack([np.lexsort((ids, -x))[:k] for x in s])
+    query, at, score = np.repeat(q_ids, top.shape[1]), top.ravel(), np.take_along_axis(s, top, 1).ravel()
+    good = score > -np.inf
+    return query[good], ids[at][good], score[good]
 
 
 #: Vectors of a block, the unit of batch search.
@@ -80,29 +114,25 @@ def _blocks(df: DataFrame, ids: str, side: str) -> DataFrame:
 def search_vector_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
     """(query_id, ord, score, rank) for queries (query_id, vector).
 
-    Both sides are cut into blocks, every pair of blocks is one matrix product, and of each the k best of a
-    query go on to the ranking; neither side passes through the driver or has to fit a worker.
+    Both sides are cut into blocks and each block of vectors meets each block of queries by an equi-join on the
+    queries' block; each meeting is one matrix product, and of it the k best of a query go on to the ranking.
+    Neither side passes through the driver, is broadcast, or has to fit a worker.
     """
+    asked = _blocks(queries, "query_id", "q").withColumn("place", F.monotonically_increasing_id())
+    # blocks are numbered by place within their partitions, which are numbered themselves
+    parts = max(1, asked.rdd.getNumPartitions())
+    asked = asked.withColumn("to", F.pmod(F.shiftright("place", 33), F.lit(parts)).cast("int"))
+    held = _blocks(vectors, "ord", "v").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def work(it):
         for b in it:
             for row in zip(*(b.column(i) for i in range(4))):
                 q_ids, q, o, v = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int64, np.float64, np.int64, np.float64)))
                 q, v = q.reshape(q_ids.size, -1), v.reshape(o.size, -1)
-                if q.shape[1] != v.shape[1]:
-                    continue
-                if metric == "l2":
-                    s = 0.0 - np.stack([((v - x) ** 2).sum(1) for x in q])
-                else:
-                    s = _unit(q) @ _unit(v).T if metric == "cosine" else q @ v.T
-                s = np.round(s, DIGITS) + 0.0
-                s[np.isnan(s)] = -np.inf
-                top = np.stack([np.lexsort((o, -x))[:k] for x in s])
-                query, at, score = np.repeat(q_ids, top.shape[1]), top.ravel(), np.take_along_axis(s, top, 1).ravel()
-                good = score > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(query[good]), pa.array(o[at][good]), pa.array(score[good])], names=["query_id", "ord", "score"])
-
-    pairs = _blocks(queries, "query_id", "q").crossJoin(_blocks(vectors, "ord", "v"))
+                if q.shape[1] == v.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(q_ids, q, o, v, k, metric)], names=["query_id", "ord", "score"])
+
+    pairs = asked.join(held, "to").select("q_ids", "q_data", "v_ids", "v_data")
     return ranked(pairs.mapInArrow(work, "query_id long, ord long, score double"), k, ["query_id"], ascending_ord=True)
 
 
@@ -118,12 +148,34 @@ def dequantize(q: Column) -> Column:
     return F.transform(q["codes"], lambda c: c * q["scale"] / 127)
 
 
+def codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`quantize` of the rows of a matrix: scales and eight-bit codes."""
+    scale = np.abs(v).max(1, initial=0)
+    x = v / np.where(scale == 0, 1, scale)[:, None] * 127
+    return scale, np.clip(np.sign(x) * np.floor(np.abs(x) + 0.5), -127, 127).astype(np.int8)
+
+
 def search_vector_int8(vectors: DataFrame, query: list[float], k: int = 10, over: int = 3, metric: str = "dot") -> DataFrame:
-    """Two stages: the over * k best by eight-bit codes are scored again with their own numbers."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    coded = vectors.where(F.size("vector") == len(query)).select("ord", "vector", F.round(similarity(metric, dequantize(quantize(F.col("vector"))), dequantize(quantize(q))), DIGITS).alias("score"))
+    """Two stages: the over * k best by eight-bit codes are scored again with their own numbers.
+
+    Codes are compared in Arrow batches, each of which passes its over * k best on with their vectors.
+    """
+    q = np.array([query], np.float64)
+    q_scale, q_codes = codes(q)
+    coarse = q_codes * q_scale[:, None] / 127
+
+    def work(it):
+        for ids, v in _matrices(it, q.shape[1]):
+            scale, code = codes(v)
+            _, top, score = best(np.zeros(1, np.int64), coarse, ids, code * scale[:, None] / 127, k * over, metric)
+            where = {int(x): i for i, x in enumerate(ids)}
+            rows = v[[where[int(x)] for x in top]]
+            yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(score), pa.array(list(rows), pa.list_(pa.float64()))], names=["ord", "score", "vector"])
+
+    coded = vectors.select(F.col("ord").cast("bigint"), "vector").mapInArrow(work, "ord long, score double, vector array<double>")
     first = coded.orderBy(F.col("score").desc(), "ord").limit(k * over)
-    return ranked(first.select("ord", F.round(similarity(metric, F.col("vector"), q), DIGITS).alias("score")), k, ascending_ord=True)
+    want = F.array(*[F.lit(float(x)) for x in query])
+    return ranked(first.select("ord", F.round(similarity(metric, F.col("vector"), want), DIGITS).alias("score")), k, ascending_ord=True)
 
 
 def fuse(legs: list[DataFrame], k: int = 10, by: list[str] | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from quern.functions.query import VALUE, SynonymMap
 from quern.functions.text import Analyzer
 from quern.operators import kv, lexical, vector
 from quern.operators.lexical import Bm25, FieldIndex, Index
+from quern.operators.stored import StoredIndex, read_text, write_text
 
 
 class Kind(enum.Enum):
@@ -26,6 +27,7 @@ class Kind(enum.Enum):
     INVALID_OPTION = "invalid option"
     NO_INDEX = "no index"
     MODE_MISMATCH = "mode mismatch"
+    OUT_OF_DATE = "out of date"
 
 
 class CollectionError(Exception):
@@ -48,6 +50,7 @@ class Options:
     policy: kv.Policy = field(default_factory=kv.Policy)
     read_write: bool = True
     synonyms: SynonymMap | None = None
+    cache_size: int = 0
 
     def mode(self) -> dict:
         """What can't change."""
@@ -56,6 +59,8 @@ class Options:
 
 LOG = f"key string, ord bigint, tstamp bigint, is_tombstone boolean, file_id bigint, text string, fields array<struct<name:string,value:string>>, vector array<float>, meta map<string,{VALUE}>"
 MAX_KEY, MAX_VALUE = 64 << 10, (4 << 30) - 1
+#: Hits of a query that are remembered, at most.
+MAX_CACHED = 1_000
 
 
 class Collection:
@@ -67,6 +72,7 @@ class Collection:
 
     def __init__(self, spark: SparkSession, path: str, options: Options):
         self.spark, self.path, self.options, self.closed = spark, path.rstrip("/"), options, False
+        self._results: dict[tuple, tuple] = {}
 
     # -- life cycle
 
@@ -111,10 +117,7 @@ class Collection:
         return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0]) if fs.exists(p) else None
 
     def _write_config(self, mode: dict) -> None:
-        fs, p = self._fs(f"{self.path}/collection.json")
-        stream = fs.create(p, True)
-        stream.write(bytearray(json.dumps(mode).encode()))
-        stream.close()
+        write_text(self.spark, f"{self.path}/collection.json", json.dumps(mode))
 
     def _open(self, write: bool = False, index: bool = False) -> None:
         if self.closed:
@@ -164,14 +167,28 @@ class Collection:
                 bad = bad.when(F.col("vector").isNotNull() & F.col("unit").isNull(), "zero")
         else:
             bad = bad.when(F.col("vector").isNotNull(), "dim")
-        wrong = data.select(bad.alias("bad")).where("bad is not null").first()
+        # the batch is written aside once, so that its rows are numbered and checked as they are stored
+        aside = f"{self.path}/aside-{uuid.uuid4().hex}"
+        data.withColumn("bad", bad).write.parquet(aside)
+        try:
+            self._take(self.spark.read.parquet(aside), last, "seq" in names)
+        finally:
+            fs, p = self._fs(aside)
+            fs.delete(p, True)
+
+    def _take(self, data: DataFrame, last, placed: bool) -> None:
+        """Append a batch that is stored aside, with numbers after the last one's."""
+        wrong = data.select("bad").where("bad is not null").first()
         if wrong:
             raise CollectionError({"key": Kind.KEY_TOO_LARGE, "value": Kind.VALUE_TOO_LARGE}.get(wrong[0], Kind.INVALID_OPTION), f"vector: {wrong[0]}")
         if "unit" in data.columns:
             data = data.withColumn("vector", F.col("unit").cast("array<float>"))
-        numbered = data.withColumn("ord", F.col("_at") + F.lit(last[0] + 1)) if "seq" in names else _number(data, last[0] + 1)
+        if placed and not data.groupBy("_at").count().where("count > 1").isEmpty():
+            raise CollectionError(Kind.INVALID_OPTION, "seq repeats")
+        numbered = data.withColumn("ord", F.col("_at") + F.lit(last[0] + 1)) if placed else _number(data, last[0] + 1)
         out = numbered.withColumn("file_id", F.lit(last[1] + 1).cast("bigint"))
         out.select(*[c.split()[0] for c in LOG.split(", ")]).write.mode("append").parquet(self._version())
+        self._results.clear()
 
     def put(self, key: str, value: str, tstamp: int = 0) -> None:
         self.put_doc(key, text=value, tstamp=tstamp)
@@ -199,9 +216,45 @@ class Collection:
 
     def parallel_scan(self, visit) -> int:
         """Call `visit` with an iterator of rows in every partition; the number of keys."""
-        rows = self.scan()
-        rows.foreachPartition(visit)
-        return rows.count()
+        n = self.spark.sparkContext.accumulator(0)
+
+        def each(it):
+            seen = 0
+
+            def counted():
+                nonlocal seen
+                for row in it:
+                    seen += 1
+                    yield row
+
+            rows = counted()
+            visit(rows)
+            for _ in rows:
+                pass
+            n.add(seen)
+
+        self.scan().foreachPartition(each)
+        return n.value
+
+    def materialize_view(self) -> None:
+        """Store the latest view, tombstones included, for iterators that may be a little behind."""
+        self._open()
+        name, last = f"view-{uuid.uuid4().hex}", self._last()
+        kv.latest(self.log, last, True).write.parquet(f"{self.path}/{name}")
+        write_text(self.spark, f"{self.path}/view.json", json.dumps({"name": name, "last": last, "time": time.time()}))
+
+    def _last(self) -> int:
+        return self.log.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
+
+    def iterate(self, max_age: float | None = None, max_puts: int | None = None, see_tombstones: bool = False) -> DataFrame:
+        """The stored view, if it is at most so many seconds old and so many writes behind; else it is out of date."""
+        self._open()
+        held = read_text(self.spark, f"{self.path}/view.json")
+        held = json.loads(held) if held else None
+        if held is None or (max_age is not None and time.time() - held["time"] > max_age) or (max_puts is not None and self._last() - held["last"] > max_puts):
+            raise CollectionError(Kind.OUT_OF_DATE)
+        rows = self.spark.read.schema(LOG).parquet(f"{self.path}/{held['name']}")
+        return rows if see_tombstones else rows.where("not is_tombstone")
 
     def status(self) -> DataFrame:
         return kv.status(self.log)
@@ -225,20 +278,62 @@ class Collection:
         whole = F.when(F.size("fields") > 0, F.col("fields")).otherwise(F.array(F.struct(F.lit("default").alias("name"), F.coalesce("text", F.lit("")).alias("value"))))
         return FieldIndex(self.docs().select("ord", whole.alias("fields")), self.options.analyzer)
 
-    def _default(self) -> Index:
-        """The default field of all documents: their texts, or their fields one after the other."""
-        if self.options.analyzer.stemming:
+    def _derived(self) -> Index:
+        if self.options.analyzer.stemming or self.docs().where("size(fields) > 0").isEmpty():
             return self.index()
         out = self.field_index().catch_all
         out.metadata = self.docs().select("ord", "meta")
         return out
 
+    def _default(self) -> Index:
+        """The default field of all documents, their texts or their fields one after the other: the stored index if it is up to
+        date, else derived from the log."""
+        self._open(index=True)
+        held = read_text(self.spark, f"{self.path}/index.json")
+        if held and json.loads(held) == self._state():
+            return StoredIndex.open(self.spark, f"{self.path}/index", self.options.analyzer)
+        return self._derived()
+
+    def _state(self) -> dict:
+        return {"last": self._last(), "log": self._version().rsplit("/", 1)[1]}
+
+    def rebuild_index(self) -> None:
+        """Store the index by term; searches read it until something is written."""
+        self._open(write=True, index=True)
+        state = self._state()
+        StoredIndex.write(self._derived(), f"{self.path}/index")
+        write_text(self.spark, f"{self.path}/index.json", json.dumps(state))
+        StoredIndex.drop_old(self.spark, f"{self.path}/index")
+
+    def compact_index(self, dead_ratio: float = 0.2) -> None:
+        """Take removed documents out of the stored index, if they are at least this share of it; what was added is not in it."""
+        self._open(write=True, index=True)
+        held, state = StoredIndex.open(self.spark, f"{self.path}/index", self.options.analyzer), read_text(self.spark, f"{self.path}/index.json")
+        if held is None or state is None:
+            return
+        live, now = self.docs().select("ord"), self._state()
+        added = live.where(F.col("ord") > json.loads(state)["last"]).limit(1).count()
+        if held.compact(live, f"{self.path}/index", dead_ratio) is not held and not added:
+            write_text(self.spark, f"{self.path}/index.json", json.dumps(now))
+
     def _keys(self, hits: DataFrame) -> DataFrame:
-        return self.docs().select("key", "ord").join(F.broadcast(hits), "ord") if "query_id" not in hits.columns else self.docs().select("key", "ord").join(hits, "ord")
+        return self.docs().select("key", "ord").join(hits, "ord")
 
     def search_text(self, query, k: int = 10, params: Bm25 | None = None, where=None, filter_mode: str = "pre") -> DataFrame:
+        """With `cache_size`, the hits of as many plain queries are remembered until the next write."""
+        plain = self.options.cache_size and isinstance(query, str) and where is None
+        key = (query, k, params or self.options.bm25)
+        if plain and key in self._results:
+            rows, schema = self._results[key] = self._results.pop(key)
+            return self.spark.createDataFrame(rows, schema)
         hits = lexical.search_text(self._default(), query, k, params or self.options.bm25, self.options.synonyms, where, filter_mode)
-        return self._keys(hits.drop("query_id") if isinstance(query, str) else hits)
+        out = self._keys(hits.drop("query_id") if isinstance(query, str) else hits)
+        if plain and k <= MAX_CACHED:
+            self._results[key] = (out.collect(), out.schema)  # k rows
+            if len(self._results) > self.options.cache_size:
+                self._results.pop(next(iter(self._results)))
+            return self.spark.createDataFrame(*self._results[key]) if key in self._results else out
+        return out
 
     search_text_batch = search_text
 
@@ -292,6 +387,25 @@ class Collection:
             legs.append(vector.search_vector(vectors, query, n, self.options.vector_metric, where))
         return self._keys(vector.fuse(legs, k))
 
+    def search_hybrid_batch(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, key, ord, score, rank, error) for queries (query_id, text, vector), of which either may be null or empty.
+
+        A query without both, or with a vector of another dimension, gives a row with its error; the others are answered.
+        """
+        vectors, n = self._vectors(None).select("ord", "vector"), vector.candidates(k)
+        has = (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("t"), (F.coalesce(F.size("vector"), F.lit(0)) > 0).alias("v")
+        asked = queries.select("query_id", "text", F.col("vector").cast("array<double>").alias("vector"), *has)
+        error = F.when(~F.col("t") & ~F.col("v"), "empty query").when(F.col("v") & (F.size("vector") != self.options.vector_dim), "dimension")
+        asked = asked.withColumn("error", error)
+        good = asked.where("error is null")
+        legs = [
+            lexical.search_text(self._default(), good.where("t").select("query_id", "text"), n, self.options.bm25),
+            vector.search_vector_batch(vectors, good.where("v").select("query_id", "vector"), n, self.options.vector_metric),
+        ]
+        hits = self._keys(vector.fuse(legs, k, ["query_id"])).select("query_id", "key", "ord", "score", "rank", F.lit(None).cast("string").alias("error"))
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("key", "string"), ("ord", "bigint"), ("score", "double"), ("rank", "int"))]
+        return hits.unionByName(asked.where("error is not null").select("query_id", *nothing, "error"))
+
     # -- compaction
 
     def file_stats(self) -> DataFrame:
@@ -309,10 +423,7 @@ class Collection:
         self._open(write=True)
         before, name = self.log.count(), f"log-{uuid.uuid4().hex}"
         kv.merge(self.log).write.parquet(f"{self.path}/{name}")
-        fs, p = self._fs(f"{self.path}/current")
-        stream = fs.create(p, True)
-        stream.write(bytearray(name.encode()))
-        stream.close()
+        write_text(self.spark, f"{self.path}/current", name)
         after = self.log.count()
         return {"records_in": before, "records_out": after, "dropped": before - after}
 

@@ -124,13 +124,6 @@ def test_highlight():
     assert [s for _, s in got] == [2.0, 1.0] and got[0][0] == "<em>aa</em> <em>aa</em>" and got[1][0] == "<em>aa</em>"
     assert lexical.highlight_text(text, ["zz"], W) == []
 
-
-def test_saved_index(spark, tmp_path):
-    i = index(spark, "a b", "b")
-    i.save(str(tmp_path / "i"))
-    assert ords(lexical.search_text(Index.load(spark, str(tmp_path / "i"), W), "a")) == [0]
-
-
 @pytest.mark.parametrize("metric", ["dot", "cosine", "l2"])
 def test_vectors(spark, metric):
     r = random.Random(1)
