@@ -81,7 +81,11 @@ def compression_bands(docs: DataFrame, level: int = LEVEL, chunk_bytes: int = CH
 
 
 def within_bands(docs: DataFrame, level: int = LEVEL, chunk_bytes: int = CHUNK_BYTES, chunk_share: float = CHUNK_SHARE, bands=BANDS, text: str = "text") -> DataFrame:
-    """The rows that `compression_bands` keeps, with all their columns, in the same single pass."""
+    """The rows that `compression_bands` keeps, with all their columns, in the same single pass.
+
+    Null and empty texts go; a text of blanks is judged like others; null keys and further columns, whatever their
+    names, are passed on; ties don't arise and repeated rows are judged alike; an empty table gives an empty one.
+    """
 
     def work(it):
         z = zstandard.ZstdCompressor(level=level)
