@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.query import SynonymMap, parse_query, passes
-from quern.functions.text import Analyzer, edit_distance_within, stem, unstemmed, wildcard_match
+from quern.functions.text import Analyzer, edit_distance_within, fold_string, stem, unstemmed, wildcard_match
 
 #: Query terms up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
@@ -347,7 +347,7 @@ def highlight_text(text: str, terms: Iterable[str], analyzer: Analyzer, pre: str
     """
     import re
 
-    terms, folded = set(terms), text.lower().replace("ß", "ss").encode()
+    terms, folded = set(terms), (fold_string(text) if analyzer.full_fold else text.lower().replace("ß", "ss")).encode()
     found = [(m.start(), m.end()) for m in re.finditer(rb"[^\s]+", folded) if m[0].decode("utf-8", "replace") in terms]
     out: list[tuple[str, float]] = []
     left = found

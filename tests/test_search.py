@@ -123,6 +123,7 @@ def test_highlight():
     got = lexical.highlight_text(text, ["aa"], W, fragment_size=20, max_fragments=2)
     assert [s for _, s in got] == [2.0, 1.0] and got[0][0] == "<em>aa</em> <em>aa</em>" and got[1][0] == "<em>aa</em>"
     assert lexical.highlight_text(text, ["zz"], W) == []
+    assert lexical.highlight_text("ＳＰＡＲＫ plans", ["spark"], W) == [("<em>spark</em>", 1.0)]
 
 @pytest.mark.parametrize("metric", ["dot", "cosine", "l2"])
 def test_vectors(spark, metric):
