@@ -471,7 +471,28 @@ def stemmed_search(spark, d):
     return lexical.search_text(_stored(spark, d, Analyzer("whitespace", stemming=True)), Q1).drop("query_id")
 
 
-@query()
+def _highlight_sql(fragments: int = 3, size: int = 120) -> str:
+    """The search with snippets: fragments one after another, in bytes of the folded text."""
+    steps = ""
+    for i in range(1, fragments + 1):
+        steps += f"""
+best{i} AS (SELECT ord, s FROM (SELECT a.ord, a.s, count(*) AS c FROM left{i} a JOIN left{i} b ON a.ord = b.ord AND b.s >= a.s AND b.s < a.s + {size} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY ord ORDER BY c DESC, s) = 1),
+frag{i} AS (SELECT ord, {i} AS i, b.s AS start, least(b.s + {size}, max(l.e)) AS stop FROM best{i} b JOIN left{i} l USING (ord) GROUP BY 1, 2, 3),
+left{i + 1} AS (SELECT l.* FROM left{i} l JOIN best{i} b USING (ord) WHERE NOT (l.s >= b.s AND l.s < b.s + {size})),"""
+    part = lambda a, b: f"decode(unhex(substr(raw, CAST(2 * {a} + 1 AS BIGINT), CAST(2 * ({b} - {a}) AS BIGINT))))"
+    return f"""WITH {_bm25(Q1_SQL)}, hits AS ({_top(_SUM)}),
+body AS (SELECT ord, folded, hex(encode(folded)) AS raw, regexp_extract_all(folded, '\\S+') AS w, string_split_regex(folded, '\\S+') AS gaps FROM (SELECT doc_id AS ord, {_FOLD} AS folded FROM documents SEMI JOIN hits ON doc_id = hits.ord)),
+word AS (SELECT ord, i, w[i] AS term, strlen(gaps[i]) AS gap, strlen(w[i]) AS len FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM body)),
+placed AS (SELECT ord, term, sum(gap + len) OVER (PARTITION BY ord ORDER BY i) AS e, len FROM word),
+left1 AS (SELECT ord, e - len AS s, e FROM placed WHERE term IN {Q1_SQL}),{steps}
+frag AS ({" UNION ALL ".join(f"SELECT * FROM frag{i}" for i in range(1, fragments + 1))}),
+inside AS (SELECT f.ord, f.i, f.start, f.stop, m.s, m.e, coalesce(lag(m.e) OVER (PARTITION BY f.ord, f.i ORDER BY m.s), f.start) AS prior FROM frag f JOIN left1 m ON m.ord = f.ord AND m.s >= f.start AND m.e <= f.stop),
+marked AS (SELECT ord, i, start, stop, max(e) AS last, count(*) AS n, string_agg({part("prior", "s")} || '<em>' || {part("s", "e")} || '</em>', '' ORDER BY s) AS text FROM inside JOIN body USING (ord) GROUP BY 1, 2, 3, 4),
+snippet AS (SELECT ord, i, text || {part("last", "stop")} AS text, CAST(n AS DOUBLE) AS score FROM marked JOIN body USING (ord))
+SELECT ord, hits.score, rank, highlights FROM hits JOIN (SELECT ord, CAST(to_json(list(struct_pack(text := text, score := score) ORDER BY i)) AS VARCHAR) AS highlights FROM snippet GROUP BY 1) USING (ord)"""
+
+
+@query(_highlight_sql())
 def highlight(spark, d):
     docs = documents(spark, d)
     h = lexical.search_text_highlight(_stored(spark, d), docs, Q1)
