@@ -1,12 +1,14 @@
-"""N-gram Jaccard join: size-aware heavy-light join."""
+"""N-gram Jaccard join: subsets of small sets, prefixes of the rarest grams of all others."""
 
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import ragged
@@ -16,24 +18,20 @@ from quern.llm.shared import map_arrow, materialize, need, table, without_ids
 #: Words of a gram and the Jaccard similarity from which two documents are near duplicates.  Above 1/2,
 #: sets of one gram have no partner but their equals, and larger ones share at least two grams with any.
 N, THRESHOLD = 3, 0.55
-#: Grams of a large set that are posted, on average: each gram is posted if its hash is below THIN / size,
-#: so that two sets keep the same ones of what they share.
-THIN = 64
-#: Lists up to this long give all their pairs at once.  In longer ones each set leaves out those of its posted
-#: grams whose lists are the longest, as many as any partner can spare: exactly where all grams are posted, and
-#: by so many standard deviations where they are thinned.  The rest give stars and then the pairs that no star
+#: Bits of a gram's hash by which it is counted and posted; grams of a part that is counted at once, on average;
+#: grams, and texts, that a worker packs at once.
+BITS, PART, PACK, TEXTS = 40, 1 << 21, 1 << 21, 1 << 16
+#: Lists up to this long give all their pairs at once.  Longer ones give stars and then the pairs that no star
 #: has connected, in blocks of BLOCK sets.
-LIGHT, SURE, BLOCK = 64, 4, 1024
+LIGHT, BLOCK = 64, 1024
 #: Pairs in a batch that a worker emits.
 PAIRS = 1 << 18
-#: A pair is verified if it shares one of this many posted grams, for the smaller set.
-SHARE = 16
 #: One in so many grams, by hash, goes into the statistic from which the boundary is chosen.
 STATISTIC = 1024
-#: Subsets of small sets have two grams.
-SUBSET = 2
+#: Subsets of small sets have two grams; a small set has so many of them at most.
+SUBSET, MOST = 2, 2560
 
-_ORDER, _PRINT, _THIN = (np.uint64(x) for x in (0x8E9D5A1C3B7F2461, 0xD6E8FEB86659FD93, 0xA5A3564E2C1F7D8B))
+_ORDER, _PRINT = (np.uint64(x) for x in (0x8E9D5A1C3B7F2461, 0xD6E8FEB86659FD93))
 
 
 class Sets:
@@ -62,14 +60,8 @@ class Sets:
 
 
 def postings(s: Sets, boundary: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(list, text index): grams of large sets, with an even number, and subsets of small sets, with an odd one.
-
-    Sets that are small but may match a large one are posted by gram as well.
-    """
-    size = s.size[s.doc]
-    level = (ragged.mix(s.hash ^ _THIN) >> np.uint64(40)).astype(np.float64) / (1 << 24)
-    keep = (size >= math.ceil(threshold * boundary)) & (level * size < THIN)
-    lists, docs = [s.hash[keep] & ~np.uint64(1)], [s.doc[keep]]
+    """(list, text index): subsets of small sets, with an odd number."""
+    lists, docs = [s.hash[:0]], [s.doc[:0]]
     order_of = ragged.mix(s.hash ^ _ORDER)
     for k in range(SUBSET, boundary + 1):
         own = np.flatnonzero(s.size == k)
@@ -84,36 +76,169 @@ def postings(s: Sets, boundary: int, threshold: float) -> tuple[np.ndarray, np.n
     return np.concatenate(lists), np.concatenate(docs)
 
 
-def list_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, threshold: float):
-    """Of whole lists, sorted by list, size and node: all candidate pairs (a, b, weight, need) with a < b."""
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lower `width` bytes of 64-bit values, byte by byte."""
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _values(raw: bytes, n: int, width: int, at: int = 0) -> np.ndarray:
+    out = np.zeros(n, np.uint64)
+    for k, plane in enumerate(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)):
+        out |= plane.astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _encoded(gram: np.ndarray, doc: np.ndarray, more: bytes = b"") -> bytes:
+    """Sorted grams as differences, in as many bytes as the largest takes, and their texts' numbers in two."""
+    step = np.diff(gram)
+    width = (int(step.max(initial=1)).bit_length() + 7) // 8
+    return bytes([width]) + gram[:1].tobytes() + _planes(step, width) + doc.astype(np.uint16).tobytes() + more
+
+
+def _decoded(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Grams, texts' numbers, and where further bytes begin."""
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.uint16), len(raw)
+    width = raw[0]
+    step = np.concatenate([np.frombuffer(raw, np.uint64, 1, 1), _values(raw, n - 1, width, 9)])
+    at = 9 + (n - 1) * width
+    return np.cumsum(step, dtype=np.uint64), np.frombuffer(raw, np.uint16, n, at), at + 2 * n
+
+
+_PACKED = "part int, slice long, n int, grams binary, nodes binary, sizes binary"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "slice", "n", "grams", "nodes", "sizes"])
+
+
+def packed_grams(it, n: int, least: int, bits: int):
+    """All grams of the sets of `least` grams or more, packed by parts of the hashes' range, 2**bits of them.
+
+    The texts that are packed together, a slice, are numbered; their nodes and sizes go with its first part.
+    """
+    grams, nodes, sizes, names = [], [], [], count(TaskContext.get().partitionId() << 32)
+
+    def done():
+        word, node, size = np.sort(np.concatenate(grams)), np.concatenate(nodes), np.concatenate(sizes)
+        told = np.sum(ragged.mix(node.view(np.uint64) + np.arange(node.size, dtype=np.uint64)), keepdims=True)  # by its texts too, lest other ones are taken for them
+        name = int(ragged.mix(told ^ ragged.mix(np.array([next(names)], np.uint64))).view(np.int64)[0])
+        gram, doc = word >> np.uint64(16), word & np.uint64(0xFFFF)
+        ends = np.searchsorted(gram, np.arange(1, (1 << bits) + 1, dtype=np.uint64) << np.uint64(BITS - bits))
+        rows, i = [], 0
+        for part, j in enumerate(ends.tolist()):
+            if i < j:
+                own = (None, None) if rows else (node.tobytes(), size.astype(np.int32).tobytes())
+                rows.append((part, name, j - i, _encoded(gram[i:j], doc[i:j]), *own))
+            i = j
+        for c in (grams, nodes, sizes):
+            c.clear()
+        return _batch(rows)
+
+    for _, col in ragged.batches(it, "text"):
+        for lo, hi in ragged.slices(col):
+            s = Sets(col, lo, hi, n)
+            large = s.size >= least
+            if not large.any():
+                continue
+            if sum(c.size for c in nodes) + large.sum() > TEXTS:
+                yield done()
+            number = np.cumsum(large) - 1 + sum(c.size for c in nodes)
+            own = large[s.doc]
+            grams.append(s.hash[own] >> np.uint64(64 - BITS) << np.uint64(16) | number[s.doc[own]].astype(np.uint64))
+            nodes.append(s.node[large])
+            sizes.append(s.size[large])
+            if sum(c.size for c in grams) >= PACK:
+                yield done()
+    if grams:
+        yield done()
+
+
+def repeated_grams(it):
+    """Of the packed grams, by part: those that more than one text holds, with the class of their number of texts in a byte more."""
+    for part, rows in _groups_of(it, 1):
+        found = [_decoded(raw, n)[0] for _, n, raw, _, _ in rows]
+        heads = [np.flatnonzero(np.append(True, g[1:] != g[:-1])) for g in found]
+        gram = np.concatenate([g[h] for g, h in zip(found, heads)])
+        times = np.concatenate([np.diff(np.append(h, g.size)) for g, h in zip(found, heads)])
+        order = np.argsort(gram, kind="stable")
+        gram, times = gram[order], times[order]
+        head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        gram, times = gram[head], np.add.reduceat(times, head)
+        gram, level = gram[times > 1], np.floor(8 * np.log2(times[times > 1])).astype(np.uint8)
+        out = []
+        for (name, n, raw, nodes, sizes), g in zip(rows, found):
+            at = np.searchsorted(gram, g)
+            at[at == gram.size] = 0
+            own = np.flatnonzero(gram[at] == g) if gram.size else np.empty(0, np.int64)
+            if own.size or nodes is not None:
+                _, doc, _ = _decoded(raw, n)
+                out.append((part[0], name, own.size, _encoded(g[own], doc[own], level[at[own]].tobytes()) if own.size else b"", nodes, sizes))
+        if out:
+            yield _batch(out)
+
+
+def prefixes(it, threshold: float):
+    """(list, node, size, place) of the grams by which a set is found: as many of its rarest as leave too few for any partner.
+
+    Grams are ordered by the class of their number of texts, then by hash, the same for all sets, so that two sets of
+    the threshold share one of these.  Grams of one text come first; they take places and aren't posted.
+    """
+    for _, rows in _groups_of(it, 1, first=1):
+        keys, node, size = [], None, None
+        for _, n, raw, nodes, sizes in rows:
+            if nodes is not None:
+                node, size = np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int32).astype(np.int64)
+            if n:
+                gram, doc, at = _decoded(raw, n)
+                level = np.frombuffer(raw, np.uint8, n, at)
+                keys.append(doc.astype(np.uint64) << np.uint64(48) | level.astype(np.uint64) << np.uint64(40) | gram)
+        key = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+        doc = (key >> np.uint64(48)).astype(np.int64)
+        times = np.bincount(doc, minlength=node.size)
+        alone = size - times
+        place = np.arange(key.size) - (np.cumsum(times) - times)[doc] + alone[doc]
+        post = place <= (size - np.ceil(threshold * size - 1e-9).astype(np.int64))[doc]
+        key, doc, place = key[post], doc[post], place[post]
+        lists = (key & np.uint64((1 << BITS) - 1)) << np.uint64(1)
+        yield pa.RecordBatch.from_arrays([pa.array(lists.view(np.int64)), pa.array(node[doc]), pa.array(size[doc].astype(np.int32)), pa.array(place.astype(np.int32))], names=["list", "node", "size", "place"])
+
+
+def list_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, threshold: float):
+    """Of whole lists, sorted by list, size, node and place: all candidate pairs (a, b) with a < b."""
     new = np.ones(key.size, bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    k, n, z = key[new], node[new], size[new]
-    found = [(n[:0], n[:0], z[:0], z[:0], k[:0])]
+    k, n, z, p = key[new], node[new], size[new], place[new]
+    found = [(n[:0], n[:0])]
     for d in range(1, k.size):
         i = np.flatnonzero(k[:-d] == k[d:])
         if not i.size:
             break
-        found.append((n[i], n[i + d], z[i], z[i + d], k[i]))
-    return _weighed(*(np.concatenate(c) for c in zip(*found)), threshold)
+        i = i[_may_match(z[i], z[i + d], p[i], p[i + d], threshold)]
+        found.append((np.minimum(n[i], n[i + d]), np.maximum(n[i], n[i + d])))
+    a, b = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.ones(a.size, bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[once], b[once]
+
 
+def _may_match(x, y, i, j, threshold: float):
+    """Whether sets of sizes x and y reach the threshold if the first gram that they share is at places i and j.
 
-def _weighed(a, b, x, y, k, threshold: float):
-    """(a, b, weight, need) of the pairs of nodes a, b of sizes x, y in list k whose sizes allow the threshold."""
-    less, more = np.minimum(x, y), np.maximum(x, y)
-    ok = less >= threshold * more
-    a, b, less, k = a[ok], b[ok], less[ok], k[ok]
-    want = np.ceil(np.minimum(less, THIN) / SHARE).astype(np.int32)
-    weight = np.where(k & 1 == 1, want, 1).astype(np.int32)
-    return np.minimum(a, b), np.maximum(a, b), weight, want
+    It is asked of each gram that they share; the first of them tells, so none is lost.
+    """
+    return np.minimum(x - i, y - j) * (1 + threshold) >= threshold * (x + y) - 1e-6
 
 
-def block_pairs(key: int, left: tuple, right: tuple | None, threshold: float):
-    """Candidate pairs of a block of a heavy list, or of two blocks, each (nodes, sizes, components), whose
+def block_pairs(left: tuple, right: tuple | None, threshold: float):
+    """Candidate pairs of a block of a heavy list, or of two blocks, each (nodes, sizes, places, components), whose
     components differ; in parts of about PAIRS."""
     order = np.argsort((left if right is None else right)[1], kind="stable")
-    y, zy, cy = (c[order] for c in (left if right is None else right))
-    x, zx, cx = (y, zy, cy) if right is None else left
+    y, zy, py, cy = (c[order] for c in (left if right is None else right))
+    x, zx, px, cx = (y, zy, py, cy) if right is None else left
     lo = np.arange(x.size) + 1 if right is None else np.searchsorted(zy, np.floor(zx * threshold), side="left")
     n = np.maximum(np.searchsorted(zy, np.ceil(zx / threshold), side="right") - lo, 0)
     ends, at = np.cumsum(n), 0
@@ -122,26 +247,26 @@ def block_pairs(key: int, left: tuple, right: tuple | None, threshold: float):
         m = n[at:to]
         i = np.repeat(np.arange(at, to), m)
         j = np.arange(i.size) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[at:to], m)
-        apart = cx[i] != cy[j]
+        apart = (cx[i] != cy[j]) & _may_match(zx[i], zy[j], px[i], py[j], threshold)
         i, j = i[apart], j[apart]
         if i.size:
-            yield _weighed(x[i], y[j], zx[i], zy[j], np.full(i.size, key), threshold)
+            yield np.minimum(x[i], y[j]), np.maximum(x[i], y[j])
         at = to
 
 
 def choose_boundary(histogram: dict[int, int], partners: float, threshold: float = THRESHOLD) -> int:
     """The size up to which sets are small: the one of least total cost.
 
-    A small set costs its subsets; a large one costs its posted grams and, for each, the `partners` that
-    its light lists hold on average.
+    A small set costs its subsets; a large one costs its packed grams, a quarter each, and for each of its prefix
+    a posting and the `partners` that a list of rare grams holds on average, which are sent and then compared.
     """
     sizes = sorted(histogram)
     small = lambda k: math.comb(min(k, k - math.ceil(threshold * k - 1e-9) + SUBSET), 2)
-    large = lambda k: min(k, THIN) * (1 + partners)
+    large = lambda k: k / 4 + (k - math.ceil(threshold * k - 1e-9) + 1) * (1 + 2 * partners)
     best, cost = 1, sum(n * large(k) for k, n in histogram.items() if k >= SUBSET)
     at_one = cost
     for x in sizes:
-        if x < SUBSET or small(x) > 40 * THIN:
+        if x < SUBSET or small(x) > MOST:
             continue
         at_one += histogram[x] * (small(x) - large(x))
         # those that may match a large set are posted twice
@@ -151,15 +276,8 @@ def choose_boundary(histogram: dict[int, int], partners: float, threshold: float
     return best
 
 
-def spared(size, threshold: float):
-    """How many posted grams of a set may go unused if a partner still has to share as many as `_weighed` needs."""
-    posted = F.least(size, F.lit(THIN))
-    shared = posted * threshold
-    return F.greatest(F.lit(0), F.floor(shared - F.ceil(posted / SHARE) - SURE * F.sqrt(shared * (1 - posted / size)) + 1e-9))
-
-
 def _candidates(pairs: DataFrame, name: str) -> DataFrame:
-    return materialize(pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b"), name)
+    return materialize(pairs.dropDuplicates(["a", "b"]), name)
 
 
 def _linked(docs: DataFrame, n: int, threshold: float, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
@@ -168,11 +286,11 @@ def _linked(docs: DataFrame, n: int, threshold: float, text: str, key: str) -> t
 
     Documents with equal sets are one node of the join, of which one document posts.  Small nodes, up to a
     boundary chosen by cost from the histogram of sizes, are matched by subsets of two grams out of the
-    prefix that any partner must share (exact); large ones by inverted lists of thinned grams, as are small
-    ones that may match a large one.  Lists are counted first, with map-side combining, and those of one node
-    go no further.  Light lists give all their pairs.  From heavy ones each node leaves out the
-    posted grams of its longest lists, `spared` of them; as the order of lists is the same for all nodes, a
-    pair loses no more than its larger node leaves out.  In the rest a node is first paired with four of its
+    prefix that any partner must share; large ones, as are small ones that may match a large one, by the lists of
+    a prefix of their rarest grams.  Both are exact.  How many texts hold a gram is counted by parts of the
+    hashes' range, to which texts go packed, a few bytes a gram; what one text alone holds goes no further, and a
+    text of which too little is repeated has no partner and posts nothing.  Lists of one node go no further.
+    Light lists give all their pairs.  In heavy ones a node is first paired with four of its
     size band, the same for all, which is enough for most groups of near copies; then all pairs of a heavy list that are
     not yet in one component are candidates as well, list by list in blocks spread over tasks.
     """
@@ -195,50 +313,52 @@ def _linked(docs: DataFrame, n: int, threshold: float, text: str, key: str) -> t
     measured = materialize(map_arrow(own, measure, "id long, node long, size int"), "join-sizes")
     meta = measured.where("size > 0").select(F.col("id").alias("doc_id"), "node", "size")
     histogram = {r[0]: r[1] for r in meta.groupBy("size").count().collect()}  # one row for each length
-    light = measured.where("size = 0").groupBy("id").count().where(f"count <= {LIGHT}").agg(F.sum(F.expr("count * (count - 1)")), F.sum("count")).first()
-    partners = (light[0] or 0) / (light[1] or 1)
+    counts = measured.where("size = 0").groupBy("id").count().groupBy("count").agg(F.count("*").alias("n")).collect()  # one row for each length of list
+    partners = _partners({r[0]: r[1] for r in counts}, threshold)
     boundary = choose_boundary(histogram, partners, threshold)
     firsts = meta.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     own = without_ids(own, meta.select("doc_id").join(firsts, "doc_id", "left_anti"))
 
-    def post(it):
+    least = max(SUBSET, math.ceil(threshold * boundary - 1e-9))  # of these none that is smaller matches a large one
+    bits = min(16, max(0, math.ceil(math.log2(max(1, sum(k * v for k, v in histogram.items()) / PART)))))
+    packed = map_arrow(own, lambda it: packed_grams(it, n, least, bits), _PACKED).repartition("part").sortWithinPartitions("part")
+    again = map_arrow(packed, repeated_grams, _PACKED).repartition("slice").sortWithinPartitions("slice")
+    post = map_arrow(again, lambda it: prefixes(it, threshold), "list long, node long, size int, place int")
+
+    def subsets(it):
         for _, col in ragged.batches(it, "text"):
             for lo, hi in ragged.slices(col):
                 s = Sets(col, lo, hi, n)
                 lists, doc = postings(s, boundary, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(lists.view(np.int64)), pa.array(s.node[doc]), pa.array(s.size[doc].astype(np.int32))], names=["list", "node", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists.view(np.int64)), pa.array(s.node[doc]), pa.array(s.size[doc].astype(np.int32)), pa.array(np.zeros(doc.size, np.int32))], names=["list", "node", "size", "place"])
 
     def pair(it):
-        for key, node, size in _whole(it, 1):
-            yield _rows(*list_pairs(key, node, size, threshold))
+        for key, node, size, place in _whole(it, 1):
+            yield _rows(*list_pairs(key, node, size, place, threshold))
 
-    posted = materialize(map_arrow(own, post, "list long, node long, size int"), "join-postings")
+    if boundary >= SUBSET:
+        post = post.unionByName(map_arrow(own, subsets, "list long, node long, size int, place int"))
+    posted = materialize(post, "join-postings")
     counted = posted.join(posted.groupBy("list").agg(F.count("*").alias("length")).where("length > 1"), "list")
-    light = counted.where(F.col("length") <= LIGHT).select("list", "node", "size").repartition("list").sortWithinPartitions("list", "size", "node")
-
-    # heavy lists: no set posts the grams of its longest lists (subsets of small sets are all needed)
-    rank = F.row_number().over(Window.partitionBy("node", F.expr("list & 1")).orderBy(F.desc("length"), "list"))
-    heavy = counted.where(F.col("length") > LIGHT).dropDuplicates(["list", "node"]).withColumn("rank", rank)
-    kept = materialize(heavy.where((F.expr("list & 1") == 1) | (F.col("rank") > spared(F.col("size"), threshold))).select("list", "node", "size"), "join-heavy")
+    light = counted.where(F.col("length") <= LIGHT).select("list", "node", "size", "place").repartition("list").sortWithinPartitions("list", "size", "node", "place")
+    kept = materialize(counted.where(F.col("length") > LIGHT).groupBy("list", "node").agg(F.min("size").alias("size"), F.min("place").alias("place")), "join-heavy")
     # bands overlap, so that sizes that are near each other share one
     place = F.log("size") / math.log(1 / threshold) if threshold < 1 else F.col("size")
     banded = kept.withColumn("band", F.explode(F.array((2 * F.floor(place)).cast("int"), (2 * F.floor(place + 0.5)).cast("int") + 1)))
-    ends = [F.struct("node", "size"), F.struct(F.xxhash64("node").alias("order"), "node", "size")]
+    ends = [F.struct("node", "size", "place"), F.struct(F.xxhash64("node").alias("order"), "node", "size", "place")]
     hubs = banded.groupBy("list", "band").agg(F.array(*[f(e).dropFields("order") if e is ends[1] else f(e) for e in ends for f in (F.min, F.max)]).alias("hubs"))
     hubs = hubs.select("list", "band", F.explode(F.array_distinct("hubs")).alias("hub"))
-    least = F.least("size", "hub.size")
-    want = F.ceil(F.least(least, F.lit(THIN)) / SHARE).cast("int")
-    star = banded.join(hubs, ["list", "band"]).where((F.col("node") != F.col("hub.node")) & (least >= threshold * F.greatest("size", "hub.size")))
-    star = star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"), F.when(F.expr("list & 1 = 1"), want).otherwise(1).alias("weight"), want.alias("need"))
-    candidates = _candidates(map_arrow(light, pair, "a long, b long, weight int, need int").unionByName(star), "join-candidates")
+    near = F.least(F.expr("size - place"), F.expr("hub.size - hub.place")) * (1 + threshold) >= F.expr("size + hub.size") * threshold - 1e-6
+    star = banded.join(hubs, ["list", "band"]).where((F.col("node") != F.col("hub.node")) & near)
+    star = star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    candidates = _candidates(map_arrow(light, pair, "a long, b long").unionByName(star), "join-candidates")
     sets = _sets_of(own, candidates, n)
     verified = materialize(_verified(candidates, sets, threshold), "join-verified")
     joined = components(verified)
 
     if not kept.isEmpty():
-        apart = materialize(_across(kept, joined, threshold), "join-across")
-        if not apart.isEmpty():
-            more = _candidates(apart, "join-candidates")
+        more = _candidates(_across(kept, joined, threshold), "join-candidates")
+        if not more.isEmpty():
             new = more.select(F.explode(F.array("a", "b")).alias("a")).join(sets.select(F.col("node").alias("a")), "a", "left_anti").withColumn("b", F.col("a"))
             sets = sets.unionByName(_sets_of(own, new, n))
             verified = verified.unionByName(materialize(_verified(more, sets, threshold), "join-verified"))
@@ -246,13 +366,24 @@ def _linked(docs: DataFrame, n: int, threshold: float, text: str, key: str) -> t
     return meta, joined, sets, verified
 
 
+def _partners(counts: dict[int, int], threshold: float) -> float:
+    """Others in a list on average, of the rarest of sampled grams, as many as a prefix has; `counts` are of grams by length of list."""
+    left = (1 - threshold) * sum(k * v for k, v in counts.items())
+    total = max(1.0, left)
+    pairs = 0.0
+    for k in sorted(counts):
+        here = min(left, k * counts[k])
+        pairs, left = pairs + here * (k - 1), left - here
+    return pairs / total
+
+
 def _across(kept: DataFrame, joined: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, weight, need) of heavy lists whose nodes are in different components."""
-    placed = kept.join(joined, "node", "left").select("list", "node", "size", F.coalesce("component", "node").alias("component"))
+    """Pairs (a, b) of heavy lists whose nodes are in different components."""
+    placed = kept.join(joined, "node", "left").select("list", "node", "size", "place", F.coalesce("component", "node").alias("component"))
     spread = placed.groupBy("list").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     cut = placed.join(spread.select("list", F.ceil(F.col("n") / BLOCK).alias("blocks")), "list")
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cut = cut.select("list", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "size", "component")
+    cut = cut.select("list", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "size", "place", "component")
 
     def cross(it):
         for key, p, q, own, *rest in _whole(it, 3):
@@ -260,10 +391,10 @@ def _across(kept: DataFrame, joined: DataFrame, threshold: float) -> DataFrame:
             for i, j in zip(head.tolist(), np.append(head[1:], key.size).tolist()):
                 here, left = [c[i:j] for c in rest], own[i:j] == p[i]
                 sides = (here, None) if p[i] == q[i] else ([c[left] for c in here], [c[~left] for c in here])
-                for pairs in block_pairs(key[i], *sides, threshold):
+                for pairs in block_pairs(*sides, threshold):
                     yield _rows(*pairs)
 
-    return map_arrow(cut.repartition("list", "p", "q").sortWithinPartitions("list", "p", "q"), cross, "a long, b long, weight int, need int")
+    return map_arrow(cut.repartition("list", "p", "q").sortWithinPartitions("list", "p", "q"), cross, "a long, b long")
 
 
 def _classes(meta: DataFrame, joined: DataFrame) -> DataFrame:
@@ -280,9 +411,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     number of other documents with an equal set of word n-grams, and `n_links` that of different sets of
     the table whose Jaccard similarity with this one is at least `threshold`: all of them, each compared in full
     (by 32-bit hashes of the grams).  Links are counted, not listed, so that a class of k near copies costs k
-    rows.  Thinning makes the search for large sets approximate: a pair of 0.55 shares 45 of 64 posted grams on
-    average (35 where its sizes differ most), of which heavy lists leave out 8 to 13, and needs 4; a pair that
-    is missed there is still counted if other links connect its class.
+    rows.  No list or bucket is cut: the search is exact for sets of any size.
 
     Null and empty texts, those without words and null doc_ids are left out; a doc_id that is repeated has
     a row for each different set; an empty table gives an empty result; other columns are ignored.
@@ -319,8 +448,8 @@ def _whole(it, keys: int):
         yield rest
 
 
-def _rows(a, b, weight, want) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(weight.astype(np.int32)), pa.array(want.astype(np.int32))], names=["a", "b", "weight", "need"])
+def _rows(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 #: Bits of the filter that a text's set passes before it is sent to the verification.
@@ -423,12 +552,13 @@ def _links(joined: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(rows, work, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
-def _groups_of(it):
-    """((component, p, q), [the other columns of each row]) of sorted batches."""
+def _groups_of(it, keys: int = 3, first: int = 0):
+    """((component, p, q), [the other columns of each row]) of sorted batches; or of other columns, `keys` from `first` on."""
     now, held = None, []
     for batch in it:
-        where = zip(*(batch.column(i).to_pylist() for i in range(3)))
-        for here, row in zip(where, zip(*(batch.column(i).to_pylist() for i in range(3, batch.num_columns)))):
+        own = range(first, first + keys)
+        where = zip(*(batch.column(i).to_pylist() for i in own))
+        for here, row in zip(where, zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns) if i not in own))):
             if here != now:
                 if held:
                     yield now, held

@@ -548,6 +548,69 @@ def test_a_line_that_very_many_short_documents_share(spark):
     assert classes(spark, table) == brute_classes(table)
 
 
+def told_by_hash(text, n=ngram_join.N):
+    """(hash, index of the first word) of a text's grams, and of those that a thinning by hash to 64 would keep."""
+    w = ragged.hash_words([text])
+    h, at = w.ngrams(n)
+    h = h >> np.uint64(16) << np.uint64(16)
+    level = (ragged.mix(h ^ np.uint64(0xA5A3564E2C1F7D8B)) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+    return h, at, level * np.unique(h).size < 64
+
+
+def without_grams(text, at, tag):
+    """The text with other words at these places."""
+    w = text.split()
+    for i in at:
+        w[i] = f"{tag}{i}x"
+    return " ".join(w)
+
+
+def test_copies_that_share_no_thinned_gram(spark):
+    """Nothing but a search without thinning finds this pair of 0.8."""
+    base = words(1500, 901, 10**6)
+    _, at, thin = told_by_hash(base)
+    copy = without_grams(base, at[thin] + 1, "q")
+    assert not set(told_by_hash(base)[0][thin].tolist()) & set(told_by_hash(copy)[0].tolist())
+    table = [(1, base), (2, copy), *[(10 + i, words(300, 910 + i, 10**6)) for i in range(5)]]
+    got = classes(spark, table)
+    assert got == brute_classes(table) and (2, 1, 0, 1) in got
+
+
+def test_packed_grams_come_back():
+    r = np.random.default_rng(6)
+    for n, top in [(1, 40), (2, 40), (1000, 40), (1000, 3), (70_000, 30)]:
+        gram, doc = np.sort(r.integers(0, 1 << top, n).astype(np.uint64)), r.integers(0, 1 << 16, n)
+        raw = ngram_join._encoded(gram, doc, b"more")
+        back, number, at = ngram_join._decoded(raw, n)
+        assert (back == gram).all() and (number == doc).all() and raw[at:] == b"more"
+
+
+@pytest.mark.parametrize("pack, part", [(1 << 21, 1 << 21), (500, 200)])
+def test_prefixes_meet(spark, pack, part, monkeypatch):
+    """Each link shares a list at places that may match; texts whose grams stand alone have none."""
+    monkeypatch.setattr(ngram_join, "PACK", pack)
+    r = random.Random(14)
+    passages = [words(40, 9100 + k, 10**6) for k in range(4)]
+    table = [(i, " ".join([*r.sample(passages, 2), words(r.choice([1, 10, 60, 200]), 9200 + i, 10**6)])) for i in range(60)]
+    table += [(100 + i, edited(table[i][1], 0.05, r)) for i in range(30)] + [(200 + i, words(80, 9300 + i, 10**6)) for i in range(5)]
+    bits = max(0, (sum(len(s) for _, s in sets_of(table)) // part).bit_length())
+    t = ngram_join.THRESHOLD
+    packed = spark.createDataFrame(table, "doc_id long, text string").repartition(3).select("text").mapInArrow(lambda it: ngram_join.packed_grams(it, 3, 2, bits), ngram_join._PACKED)
+    again = packed.repartition("part").sortWithinPartitions("part").mapInArrow(ngram_join.repeated_grams, ngram_join._PACKED)
+    rows = again.repartition("slice").sortWithinPartitions("slice").mapInArrow(lambda it: ngram_join.prefixes(it, t), "list long, node long, size int, place int").collect()
+    node = ngram_join.Sets(pa.array([x for _, x in table], pa.large_string()), 0, len(table), 3).node.tolist()
+    by = collections.defaultdict(dict)
+    for x in rows:
+        by[x.node][x.list] = min(x.place, by[x.node].get(x.list, x.place)), x.size
+    sets = [s for _, s in sets_of(table)]
+    assert all(not by[node[i]] for i, (d, _) in enumerate(table) if d >= 200)
+    links = [(i, j) for i in range(len(table)) for j in range(i) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])]
+    assert len(links) >= 30
+    for i, j in links:
+        x, y = by[node[i]], by[node[j]]
+        assert any(ngram_join._may_match(x[k][1], y[k][1], x[k][0], y[k][0], t) for k in x.keys() & y.keys())
+
+
 def test_products_count_common_grams():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 60, r.integers(1, 50))).astype(np.uint32) for _ in range(9)]
