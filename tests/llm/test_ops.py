@@ -576,6 +576,24 @@ def test_copies_that_share_no_thinned_gram(spark):
     assert got == brute_classes(table) and (2, 1, 0, 1) in got
 
 
+def test_copies_whose_longest_lists_are_needed(spark):
+    """A pair of 0.8 whose thinned grams in common are all in lists of over 64, and one of exactly the threshold."""
+    base = words(1500, 902, 10**6)
+    h, at, thin = told_by_hash(base)
+    kept = at[thin].tolist()
+    stay = [i for i in kept if all(abs(i - k) > 6 for k in kept if k != i)][:7]
+    copy = without_grams(base, [i + 1 for i in kept if i not in stay], "q")
+    both = set(h[thin].tolist()) & set(told_by_hash(copy)[0].tolist())
+    assert len(both) == 7
+    w = base.split()
+    shared = [" ".join(w[i : i + 3]) for i, x in zip(at.tolist(), h.tolist()) if x in both]
+    table = [(1, base), (2, copy), *[(10 + i, " ".join(f"{g} f{i}x{k}" for k, g in enumerate(shared)) + " " + words(200, 920 + i, 10**6)) for i in range(70)]]
+    line = [f"w{i}" for i in range(102)]
+    table += [(100, " ".join(line)), (101, " ".join(line[:57]))]  # 55 of 100 grams; 0.55 * 100 is a little over 55
+    got = {r.doc_id: r.class_id for r in ngram_join.near_duplicate_classes(docs(spark, table)).collect()}
+    assert got == {i: {2: 1, 101: 100}.get(i, i) for i, _ in table}
+
+
 def test_packed_grams_come_back():
     r = np.random.default_rng(6)
     for n, top in [(1, 40), (2, 40), (1000, 40), (1000, 3), (70_000, 30)]:
