@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from quern.functions.query import passes
 from quern.operators.lexical import ranked
 from quern.operators.stored import read_text, write_text
-from quern.operators.vector import METRICS, _matrices, _unit, best
+from quern.operators.vector import METRICS, _matrices, _unit, best, met
 
 #: Centroids are fitted to a sample of at most so many vectors, the smallest by a hash of their ids; every vector is indexed.
 SAMPLE, ROUNDS, SEED = 50_000, 15, 17
+#: Vectors whose distances to all centroids are held at once.
+SLICE = 2048
 #: Share of the cells that a search looks at if nothing is asked for: evenly spread vectors, the worst case, need so many for a
 #: recall of 0.9; clustered ones need few.
 PROBE_SHARE = 0.6
@@ -28,8 +30,7 @@ def _fit(v: np.ndarray, cells: int, metric: str) -> np.ndarray:
     r = np.random.default_rng(SEED)
     centre = v[r.choice(len(v), cells, replace=False)].copy()
     for _ in range(ROUNDS):
-        near = _distances(v, centre)
-        cell, far = near.argmin(1), near.min(1)
+        cell, far = _placed(v, centre)
         for c in range(cells):
             own = v[cell == c]
             if len(own):
@@ -46,6 +47,20 @@ def _distances(v: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return (v * v).sum(1)[:, None] - 2 * v @ centre.T + (centre * centre).sum(1)
 
 
+def _placed(v: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each vector and its distance, by slices of a bounded matrix."""
+    parts = [(d.argmin(1), d.min(1)) for d in (_distances(v[i : i + SLICE], centre) for i in range(0, len(v), SLICE))]
+    return np.concatenate([c for c, _ in parts]), np.concatenate([f for _, f in parts])
+
+
+def _nearest(q: np.ndarray, centre: np.ndarray, metric: str, n: int) -> np.ndarray:
+    """The n nearest cells of each query; of inner products those of the largest."""
+    if metric == "cosine":
+        q = np.nan_to_num(_unit(q))
+    far = -(q @ centre.T) if metric == "dot" else _distances(q, centre)
+    return np.argsort(far, axis=1, kind="stable")[:, :n]
+
+
 class IvfIndex:
     """Vectors (ord, vector[, meta]) by cell.  A search reads the cells nearest to its query and ranks what they hold exactly,
     so its recall rises with `probes` to 1 at all cells; `rebuild` after many writes keeps cells even."""
@@ -53,7 +68,7 @@ class IvfIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         held = json.loads(read_text(spark, f"{path}/centroids.json"))
-        self.metric, self.centre = held["metric"], np.array(held["centroids"]).reshape(len(held["centroids"]), -1)
+        self.metric, self.centre = held["metric"], np.array(held["centroids"], np.float64).reshape(len(held["centroids"]), -1) if held["centroids"] else np.zeros((0, 0))
         self.rows = spark.read.schema(held["schema"]).parquet(f"{path}/cells")
 
     @classmethod
@@ -82,7 +97,7 @@ class IvfIndex:
                 u = _unit(m) if metric == "cosine" else m
                 ok = ~np.isnan(u).any(1)
                 if len(centre) and ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(_distances(u[ok], centre).argmin(1).astype(np.int32))], names=["ord", "cell"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(_placed(u[ok], centre)[0].astype(np.int32))], names=["ord", "cell"])
 
         placed = good.select(F.col("ord").cast("bigint"), "vector").mapInArrow(work, "ord long, cell int")
         rows = good.select(F.col("ord").cast("bigint").alias("ord"), "vector", *meta).join(placed, "ord")
@@ -99,11 +114,10 @@ class IvfIndex:
 
     def probed(self, q: np.ndarray, probes: int = 0) -> np.ndarray:
         """The nearest cells of each query; of inner products those of the largest."""
-        n = min(len(self.centre), probes or math.ceil(PROBE_SHARE * len(self.centre)))
-        if self.metric == "cosine":
-            q = np.nan_to_num(_unit(q))
-        far = -(q @ self.centre.T) if self.metric == "dot" else _distances(q, self.centre)
-        return np.argsort(far, axis=1, kind="stable")[:, :n]
+        return _nearest(q, self.centre, self.metric, self._probes(probes))
+
+    def _probes(self, probes: int) -> int:
+        return min(len(self.centre), probes or math.ceil(PROBE_SHARE * len(self.centre)))
 
     def search(self, query: list[float], k: int = 10, probes: int = 0, where=None) -> DataFrame:
         """(ord, score, rank): the k most similar of the probed cells, whose folders alone are read."""
@@ -123,43 +137,13 @@ class IvfIndex:
         return ranked(rows.select("ord", "vector").mapInArrow(work, "ord long, score double"), k, ascending_ord=True)
 
     def search_batch(self, queries: DataFrame, k: int = 10, probes: int = 0) -> DataFrame:
-        """(query_id, ord, score, rank): queries go to their cells by an equi-join; each cell's vectors meet its queries in blocks."""
-        centre, dim, metric = self.centre, self.centre.shape[1], self.metric
-
-        def send(it):
-            for ids, q in _matrices(it, dim):
-                to = self_probed(q)
-                yield pa.RecordBatch.from_arrays([pa.array(to.ravel().astype(np.int32)), pa.array(np.repeat(ids, to.shape[1])), pa.array([x.tobytes() for x in np.repeat(q, to.shape[1], 0)], pa.binary())], names=["cell", "query_id", "q"])
-
-        n, half = min(len(centre), probes or math.ceil(PROBE_SHARE * len(centre))), metric == "cosine"
+        """(query_id, ord, score, rank): each query meets the vectors of its cells, in blocks (`vector.met`)."""
+        centre, metric = self.centre, self.metric
+        n = self._probes(probes)
 
-        def self_probed(q):
-            u = np.nan_to_num(_unit(q)) if half else q
-            far = -(u @ centre.T) if metric == "dot" else _distances(u, centre)
-            return np.argsort(far, axis=1, kind="stable")[:, :n]
-
-        sent = queries.select(F.col("query_id").cast("bigint"), "vector").mapInArrow(send, "cell int, query_id long, q binary")
-
-        def block(ids: str, data: str):
-            def work(it):
-                for b in it:
-                    cell = np.asarray(b.column(0))
-                    for c in np.unique(cell):
-                        at = pa.array(np.flatnonzero(cell == c))
-                        key, col = np.asarray(b.column(1).take(at)), b.column(2).take(at)
-                        m = np.frombuffer(b"".join(x.as_py() for x in col), np.float64) if pa.types.is_binary(col.type) else np.asarray(col.flatten()).astype(np.float64)
-                        yield pa.RecordBatch.from_arrays([pa.array([int(c)], pa.int32()), pa.array([key.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["cell", ids, data])
-
-            return work
-
-        asked = sent.repartition("cell").mapInArrow(block("q_ids", "q_data"), "cell int, q_ids binary, q_data binary")
-        held = self.rows.select(F.col("cell").cast("int"), "ord", "vector").mapInArrow(block("v_ids", "v_data"), "cell int, v_ids binary, v_data binary")
-
-        def work(it):
-            for b in it:
-                for row in zip(*(b.column(i) for i in range(4))):
-                    q_ids, q, o, v = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int64, np.float64, np.int64, np.float64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(q_ids, q.reshape(q_ids.size, -1), o, v.reshape(o.size, -1), k, metric)], names=["query_id", "ord", "score"])
+        def probed(q: np.ndarray) -> np.ndarray:
+            own = np.zeros((len(q), len(centre)), bool)
+            np.put_along_axis(own, _nearest(q, centre, metric, n), True, 1)
+            return own
 
-        pairs = asked.join(held, "cell").select("q_ids", "q_data", "v_ids", "v_data")
-        return ranked(pairs.mapInArrow(work, "query_id long, ord long, score double"), k, ["query_id"], ascending_ord=True)
+        return met(queries, self.rows.select("ord", "vector", "cell"), k, metric, probed, centre.shape[1])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.query import passes
 from quern.operators.lexical import DIGITS, ranked
+from quern.operators.top import Top
 
 #: Constant of reciprocal rank fusion.
 RRF = 60
@@ -85,8 +86,9 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: in
     return query[good], ids[at][good], score[good]
 
 
-#: Vectors of a block, the unit of batch search.
-BLOCK = 2048
+#: Vectors of a block and queries of a product, the units of batch search; queries that a task holds, and hits that it keeps
+#: for them; tasks for each core, if there are few queries.
+BLOCK, GROUP, KEPT, WAVES = 2048, 65_536, 4_000_000, 2
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -95,45 +97,129 @@ def _unit(m: np.ndarray) -> np.ndarray:
         return np.where(size > 0, m / size, np.nan)
 
 
-def _blocks(df: DataFrame, ids: str, side: str) -> DataFrame:
-    """Rows (ids, data) of up to BLOCK vectors of one dimension each, as packed 64-bit numbers."""
+def _blocks(df: DataFrame, ids: str, cell: bool = False) -> DataFrame:
+    """Rows (cell, dim, ids, data) of up to BLOCK vectors of one cell and dimension each, as packed 64-bit numbers."""
 
     def work(it):
         for b in it:
-            key, col = np.asarray(b.column(0)), b.column(1)
+            key, col, of = np.asarray(b.column(0)), b.column(1), np.asarray(b.column(2))
             size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0))
-            for d in np.unique(size[size > 0]):
-                at = np.flatnonzero(size == d)
-                v = np.asarray(col.take(pa.array(at)).flatten()).astype(np.float64).reshape(-1, d)
-                cut = range(0, at.size, BLOCK)
-                yield pa.RecordBatch.from_pydict({f"{side}_ids": [key[at[i : i + BLOCK]].tobytes() for i in cut], f"{side}_data": [v[i : i + BLOCK].tobytes() for i in cut]})
-
-    return df.select(F.col(ids).cast("bigint"), "vector").mapInArrow(work, f"{side}_ids binary, {side}_data binary")
-
-
-def search_vector_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """(query_id, ord, score, rank) for queries (query_id, vector).
-
-    Both sides are cut into blocks and each block of vectors meets each block of queries by an equi-join on the
-    queries' block; each meeting is one matrix product, and of it the k best of a query go on to the ranking.
-    Neither side passes through the driver, is broadcast, or has to fit a worker.
+            for c in np.unique(of):
+                for d in np.unique(size[(of == c) & (size > 0)]):
+                    at = np.flatnonzero((of == c) & (size == d))
+                    v = np.asarray(col.take(pa.array(at)).flatten()).astype(np.float64).reshape(-1, d)
+                    cut = range(0, at.size, BLOCK)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([c] * len(cut), pa.int32()), pa.array([d] * len(cut), pa.int32()), pa.array([key[at[i : i + BLOCK]].tobytes() for i in cut], pa.binary()), pa.array([v[i : i + BLOCK].tobytes() for i in cut], pa.binary())],
+                        names=["cell", "dim", "ids", "data"],
+                    )
+
+    of = F.col("cell").cast("int") if cell else F.lit(0)
+    return df.where(F.col(ids).isNotNull()).select(F.col(ids).cast("bigint"), "vector", of.alias("cell")).mapInArrow(work, "cell int, dim int, ids binary, data binary")
+
+
+class _Asked:
+    """Queries of one dimension, and the best of what they met."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str, probed=None):
+        if metric == "cosine":
+            q = _unit(q)
+            ids, q = ids[good := ~np.isnan(q).any(1)], q[good]
+        self.ids, self.q, self.metric, self.top = ids, q, metric, Top(len(ids), k)
+        # unit vectors are screened in 32 bits
+        self.rough, self.size = (q.astype(np.float32), np.ones(len(q))) if metric == "cosine" else (q, np.sqrt((q * q).sum(1)))
+        self.cells = None if probed is None else np.concatenate([probed(q[i : i + BLOCK]) for i in range(0, max(1, len(q)), BLOCK)])
+
+    def meet(self, cell: int, ids: np.ndarray, v: np.ndarray) -> None:
+        if self.metric == "cosine":
+            v = _unit(v)
+            ids, v = ids[good := ~np.isnan(v).any(1)], v[good]
+        rough, size = v.astype(self.rough.dtype), np.sqrt((v * v).sum(1))
+        rows = np.arange(len(self.ids)) if self.cells is None else np.flatnonzero(self.cells[:, cell])
+        for i in range(0, len(rows) if len(ids) else 0, BLOCK):
+            own = rows[i : i + BLOCK]
+            s = self.rough[own] @ rough.T
+            if self.metric == "l2":
+                s = 2 * s - (self.size[own] ** 2)[:, None] - size**2
+            span = (self.size[own].max() + size.max()) ** 2
+            margin = (self.q.shape[1] + 8) * float(np.finfo(rough.dtype).eps) * (1 if self.metric == "cosine" else span) + 10.0**-DIGITS
+            self.top.offer(own, s, ids, margin, lambda a, b, own=own: self._exact(self.q[own[a]], v[b]))
+
+    def _exact(self, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        s = 0.0 - ((v - q) ** 2).sum(1) if self.metric == "l2" else np.einsum("ij,ij->i", q, v)
+        return np.round(s, DIGITS) + 0.0
+
+
+def met(queries: DataFrame, vectors: DataFrame, k: int, metric: str, probed=None, dim: int = 0) -> DataFrame:
+    """(query_id, ord, score, rank): the k best of `vectors` (ord, vector[, cell]) for each of `queries` (query_id, vector).
+
+    A task holds one group of queries and the best they have met so far, while blocks of one share of the vectors pass by;
+    it gives k rows a query.  There are as many groups as the queries need, and as many shares as the cores need besides.
+    So each vector is sent once a group and each query once a share; nothing passes through the driver or is broadcast, and
+    a task's memory doesn't grow with the tables.  `probed` says, for queries of dimension `dim`, which cells each looks at.
     """
-    asked = _blocks(queries, "query_id", "q").withColumn("place", F.monotonically_increasing_id())
-    # blocks are numbered by place within their partitions, which are numbered themselves
-    parts = max(1, asked.rdd.getNumPartitions())
-    asked = asked.withColumn("to", F.pmod(F.shiftright("place", 33), F.lit(parts)).cast("int"))
-    held = _blocks(vectors, "ord", "v").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-queries.count() // max(BLOCK, min(GROUP, KEPT // max(1, k)))))
+    shares = max(1, -(-WAVES * cores // groups))
+    place = F.monotonically_increasing_id()
+    # blocks are numbered within their partitions, which begin at places of their own
+    at = lambda n: F.pmod(F.xxhash64(place), F.lit(n)).cast("int")
+    asked = _blocks(queries, "query_id").withColumn("kind", F.lit(0)).withColumn("own", at(groups))
+    asked = asked.withColumn("task", F.explode(F.sequence(F.col("own") * shares, F.col("own") * shares + shares - 1)))
+    held = _blocks(vectors, "ord", probed is not None).withColumn("kind", F.lit(1)).withColumn("own", at(shares))
+    held = held.withColumn("task", F.explode(F.sequence(F.col("own"), F.col("own") + shares * (groups - 1), F.lit(shares))))
+    cols = ["task", "kind", "cell", "dim", "ids", "data"]
+    dealt = asked.select(cols).unionByName(held.select(cols)).repartitionById(groups * shares, F.col("task")).sortWithinPartitions("task", "kind", "dim", "cell")
 
     def work(it):
+        asked: dict[int, list] = {}
+        ready: dict[int, _Asked] = {}
+        block: list = []
+        now = None
+
+        def out():
+            for a in ready.values():
+                at, top, score = a.top.rows()
+                for i in range(0, at.size, 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 18)]) for c in (a.ids[at], top, score)], names=["query_id", "ord", "score"])
+
+        def meet():
+            if block:
+                d, cell = block[0][:2]
+                if d in asked:
+                    ids, q = (np.concatenate(x) for x in zip(*asked.pop(d)))
+                    ready[d] = _Asked(ids, q, k, metric, probed)
+                if d in ready:
+                    ready[d].meet(cell, *(np.concatenate(x) for x in zip(*(x[2:] for x in block))))
+                block.clear()
+
         for b in it:
-            for row in zip(*(b.column(i) for i in range(4))):
-                q_ids, q, o, v = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int64, np.float64, np.int64, np.float64)))
-                q, v = q.reshape(q_ids.size, -1), v.reshape(o.size, -1)
-                if q.shape[1] == v.shape[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best(q_ids, q, o, v, k, metric)], names=["query_id", "ord", "score"])
-
-    pairs = asked.join(held, "to").select("q_ids", "q_data", "v_ids", "v_data")
-    return ranked(pairs.mapInArrow(work, "query_id long, ord long, score double"), k, ["query_id"], ascending_ord=True)
+            for i in range(b.num_rows):
+                task, kind, cell, d = (b.column(x)[i].as_py() for x in range(4))
+                ids, data = (np.frombuffer(b.column(x)[i].as_buffer(), t) for x, t in ((4, np.int64), (5, np.float64)))
+                data = data.reshape(-1, d)
+                if task != now:
+                    meet()
+                    yield from out()
+                    asked, ready, now = {}, {}, task
+                if kind == 0:
+                    if probed is None or d == dim:
+                        asked.setdefault(d, []).append((ids, data))
+                else:
+                    if block and (block[0][:2] != (d, cell) or sum(len(x[2]) for x in block) + len(ids) > BLOCK):
+                        meet()
+                    block.append((d, cell, ids, data))
+        meet()
+        yield from out()
+
+    return ranked(dealt.mapInArrow(work, "query_id long, ord long, score double"), k, ["query_id"], ascending_ord=True)
+
+
+def search_vector_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """(query_id, ord, score, rank) for queries (query_id, vector), exact: every query meets every vector, in blocks (`met`)."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    return met(queries, vectors, k, metric)
 
 
 def quantize(vector: Column) -> Column:
