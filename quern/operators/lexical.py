@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.query import SynonymMap, parse_query, passes
-from quern.functions.text import Analyzer, edit_distance_within, fold_string, stem, unstemmed, wildcard_match
+from quern.functions.text import Analyzer, edit_distance_within, fold_string, porter_stem, stem, unstemmed, wildcard_match
+from quern.operators.top import Top
 
 #: Query terms up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
+#: Words up to this many are looked for within the rows of tokens.
+INLINE_TERMS = 20_000
+#: Tokens of an Arrow batch that are handled at once, and cells of a matrix of scores.
+SLICE, CELLS = 500_000, 2_000_000
+#: Words whose stems a worker remembers.
+STEMS = 200_000
 DIGITS = 6
 
 
@@ -67,29 +78,57 @@ class Index:
         docs = spread(docs)
         tokens = docs.select("ord", analyzer.tokens(F.col("text")).alias("tokens"))
         if analyzer.stemming:
-            tokens = _stemmed(tokens, docs, analyzer)
+            tokens = _stemmed(tokens)
         return cls(tokens.withColumn("dl", F.size("tokens").cast("bigint")), analyzer, docs.select("ord", "meta") if "meta" in docs.columns else None)
 
     def field_stats(self) -> DataFrame:
         """One row: documents and total length."""
         return self.tokens.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("sum_dl"))
 
+    #: whether postings are found by their term
+    by_term = False
+
+    @cached_property
+    def unique(self) -> bool:
+        """Whether no two rows have the same ord, so that each document lies within its row."""
+        return not self.tokens.groupBy("ord").count().where("count > 1").head(1)
+
     def exploded(self, words: list[str] | None = None) -> DataFrame:
         """(ord, dl, term, pos) of these words or of all."""
-        if words is not None:
-            return self.exploded().where(F.col("term").isin(words))
+        return self._tokens_of(self.tokens if words is None else self._with(lambda t: t.isin(words)))
+
+    def _with(self, match: Callable[[Column], Column]) -> DataFrame:
+        """The rows with those tokens only whose term matches."""
+        return self.tokens.select("ord", "dl", F.filter("tokens", lambda t: match(t.term)).alias("tokens"))
+
+    @staticmethod
+    def _tokens_of(rows: DataFrame) -> DataFrame:
         # the outer form, since for the inner one the planner tests the tokens' number first, and makes them twice
-        return self.tokens.select("ord", "dl", F.explode_outer("tokens").alias("t")).where("t is not null").select("ord", "dl", "t.term", "t.pos")
+        return rows.select("ord", "dl", F.explode_outer("tokens").alias("t")).where("t is not null").select("ord", "dl", "t.term", "t.pos")
 
     def postings(self, terms: Terms | None = None) -> DataFrame:
-        """(term, ord, dl, tf), of these terms or of all; one aggregation after a map-side combine."""
+        """(term, ord, dl, tf), of these terms or of all.
+
+        All of them are counted within rows, without a shuffle, where every document has one row; known words are kept
+        within rows before anything is sent; a table of words is joined.
+        """
+        if terms is None and self.unique:
+            return gathered(self.tokens).select("term", "ord", "dl", "tf")
+        if terms is not None and terms.names is not None and len(terms.names) <= INLINE_TERMS:
+            return self.matching(lambda t: t.isin(terms.names))
         rows = self.exploded()
         if terms is not None:
             rows = rows.join(_small(terms.distinct(), terms.n), "term")
         return rows.groupBy("term", "ord", "dl").agg(F.count("*").alias("tf"))
 
+    def matching(self, match: Callable[[Column], Column]) -> DataFrame:
+        """(term, ord, dl, tf) of the terms that match."""
+        return self._tokens_of(self._with(match)).groupBy("term", "ord", "dl").agg(F.count("*").alias("tf"))
+
     def positions(self) -> DataFrame:
-        """(term, ord, tf, positions), sorted."""
+        """(term, ord, tf, positions), sorted; within rows where every document has one."""
+        if self.unique:
+            return gathered(self.tokens).select("term", "ord", "tf", "positions")
         return self.exploded().groupBy("term", "ord").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
     def term_stats(self) -> DataFrame:
@@ -143,14 +182,62 @@ class Terms:
         return self.table.select("term").distinct() if self.words is None else self.words
 
 
-def _stemmed(tokens: DataFrame, docs: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """Terms replaced by their stems, which are computed once for each distinct term."""
-    rows = tokens.select("ord", F.posexplode_outer("tokens").alias("i", "t"))
-    stems = rows.select("t.term").where("term is not null").distinct().withColumn("stem", stem("term"))
-    joined = rows.join(stems, F.col("t.term") == F.col("term"), "left")
-    one = F.struct(F.col("i"), F.col("stem").alias("term"), F.col("t.pos").alias("pos"))
-    kept = joined.groupBy("ord").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), one))).alias("s"))
-    return kept.select("ord", F.transform("s", lambda x: F.struct(x.term.alias("term"), x.pos.alias("pos"))).alias("tokens"))
+def _slices(batch: pa.RecordBatch, at: int) -> Iterable[pa.RecordBatch]:
+    """The rows of a batch, in parts of about SLICE tokens of the list at this place; a longer document is a part."""
+    before = np.append(0, np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column(at)), 0), np.int64)))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + SLICE, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _lists(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of a column of lists, and how many each row has."""
+    return col.flatten(), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0), np.int64)
+
+
+def gathered(tokens: DataFrame) -> DataFrame:
+    """(term, ord, dl, tf, positions) of (ord, tokens, dl), each document within its row, so without a shuffle."""
+
+    def work(it):
+        for b in (part for batch in it for part in _slices(batch, 1)):
+            flat, size = _lists(b.column(1))
+            if not len(flat):
+                continue
+            word = pa.compute.struct_field(flat, 0).dictionary_encode()
+            code, pos, doc = np.asarray(word.indices), np.asarray(pa.compute.struct_field(flat, 1)), np.repeat(np.arange(size.size), size)
+            order = np.lexsort((pos, code, doc))
+            code, pos, doc = code[order], pos[order], doc[order]
+            head = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
+            ends = np.append(head, code.size).astype(np.int32)
+            of = pa.array(doc[head])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([word.dictionary.take(pa.array(code[head])), b.column(0).take(of), b.column(2).take(of), pa.array(np.diff(ends).astype(np.int64)), lists], names=["term", "ord", "dl", "tf", "positions"])
+
+    return tokens.select(F.col("ord").cast("bigint"), "tokens", F.col("dl").cast("bigint")).mapInArrow(work, "term string, ord long, dl long, tf long, positions array<int>")
+
+
+def _stemmed(tokens: DataFrame) -> DataFrame:
+    """Terms replaced by their stems within their rows; a worker stems a word once, as long as it remembers it."""
+
+    def work(it):
+        known: dict[str, str] = {}
+        for b in (part for batch in it for part in _slices(batch, 1)):
+            flat, size = _lists(b.column(1))
+            word = pa.compute.struct_field(flat, 0).dictionary_encode()
+            if len(known) > STEMS:
+                known.clear()
+            stems = []
+            for w in word.dictionary.to_pylist():
+                if (s := known.get(w)) is None:
+                    s = known[w] = porter_stem(w)
+                stems.append(s)
+            own = pa.StructArray.from_arrays([pa.array(stems, pa.string()).take(word.indices), pa.compute.struct_field(flat, 1)], ["term", "pos"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), own)], names=["ord", "tokens"])
+
+    kind = tokens.schema["ord"].dataType.simpleString()
+    return tokens.select("ord", "tokens").mapInArrow(work, f"ord {kind}, tokens array<struct<term:string,pos:int>>")
 
 
 def query_terms(index: Index, queries: dict | str | DataFrame, synonyms: SynonymMap | None = None) -> Terms:
@@ -170,9 +257,14 @@ def query_terms(index: Index, queries: dict | str | DataFrame, synonyms: Synonym
 def contributions(index: Index, terms: Terms, params: Bm25) -> DataFrame:
     """(query_id, term, ord, tf, df, n, dl, avgdl, contribution) of every match."""
     postings = index.postings(terms)
+    rows = _scored(index, postings, params, terms.n)
+    return rows.join(_small(terms.table, terms.n), "term")
+
+
+def _scored(index: Index, postings: DataFrame, params: Bm25, words: int | None = None) -> DataFrame:
+    """Postings with their contributions; words: how many there are at most, if that is known."""
     df = postings.groupBy("term").agg(_documents().alias("df"))
-    rows = index.with_stats(postings.join(df, "term").join(_small(terms.table, terms.n), "term"))
-    return rows.withColumn("contribution", params.score(*map(F.col, ("n", "df", "tf", "dl", "avgdl"))))
+    return index.with_stats(postings.join(_small(df, words), "term")).withColumn("contribution", params.score(*map(F.col, ("n", "df", "tf", "dl", "avgdl"))))
 
 
 def score_terms(index: Index, terms: Terms, params: Bm25 | None = None) -> DataFrame:
@@ -184,9 +276,14 @@ def search_text(index: Index, queries, k: int = 10, params: Bm25 | None = None,
     """The k best documents of each query: (query_id, ord, score, rank).
 
     where: a metadata filter.  'pre' applies it to all matches; 'post' to the best max(4k, 64), which may
-    leave fewer than k.
+    leave fewer than k.  Tables of queries are scored document by document (`_best_of_each`) where that can be.
     """
-    hits = score_terms(index, query_terms(index, queries, synonyms), params)
+    terms = query_terms(index, queries, synonyms)
+    if isinstance(queries, DataFrame) and where is None and not index.by_term and index.unique:
+        asked = terms.table.limit(BROADCAST_TERMS + 1).collect()
+        if len(asked) <= BROADCAST_TERMS:
+            return _best_of_each(index, [tuple(r) for r in asked], k, params or Bm25())
+    hits = score_terms(index, terms, params)
     if where is not None and filter_mode == "pre":
         return ranked(_filtered(index, hits, where), k, ["query_id"])
     if where is not None:
@@ -194,6 +291,79 @@ def search_text(index: Index, queries, k: int = 10, params: Bm25 | None = None,
     return ranked(hits, k, ["query_id"])
 
 
+def _best_of_each(index: Index, asked: list[tuple], k: int, params: Bm25) -> DataFrame:
+    """The k best documents of each of many queries, (query_id, term) in all, over an index of one row a document.
+
+    The tokens are read once for statistics and once for scores.  A task scores its documents against all queries, slice by
+    slice, and keeps the k best of each, so that neither matches nor scores are sent, but k rows a query and task.
+    """
+    spark = index.tokens.sparkSession
+    asked = [(q, t) for q, t in asked if q is not None]
+    ids, words = sorted({q for q, _ in asked}), sorted({t for _, t in asked})
+    place, code = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(words)}
+    pairs = np.array(sorted((code[t], place[q]) for q, t in asked), np.int64).reshape(-1, 2)
+    of, first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))
+    ids = np.array(ids, np.int64)
+    known = F.filter("tokens", lambda t: t.term.isin(words)) if len(words) <= INLINE_TERMS else F.col("tokens")
+    rows = index.tokens.select(F.col("ord").cast("bigint"), F.col("dl").cast("bigint"), F.transform(known, lambda t: t.term).alias("words"))
+
+    def counted(batch, known):
+        """(document, word, tf) of what is asked for, and the slice that they are of."""
+        for b in _slices(batch, 2):
+            flat, size = _lists(b.column(2))
+            own = np.asarray(pa.compute.fill_null(pa.compute.index_in(flat, value_set=known), -1), np.int64)
+            key, tf = np.unique((np.repeat(np.arange(size.size), size) * len(words) + own)[own >= 0], return_counts=True)
+            yield b, *np.divmod(key, max(1, len(words))), tf
+
+    def count(it):
+        known = pa.array(words, pa.string())
+        df, n, total = np.zeros(len(words), np.int64), 0, 0
+        for batch in it:
+            n, total = n + batch.num_rows, total + (pa.compute.sum(batch.column(1)).as_py() or 0)
+            for _, _, word, _ in counted(batch, known):
+                df += np.bincount(word, minlength=len(words))
+        there = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-1, -2], there)), pa.array(np.append([n, total], df[there]))], names=["word", "n"])
+
+    found = dict(rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n")).collect())
+    n, total = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.array([found.get(i, 0) for i in range(len(words))], np.float64)
+    idf, avgdl = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / n if n else 1.0
+
+    def score(it):
+        known, top = pa.array(words, pa.string()), Top(len(ids), k, descending=True)
+        every = np.arange(len(ids))
+        for batch in it:
+            for b, doc, word, tf in counted(batch, known):
+                order, dl = np.asarray(b.column(0)), np.asarray(b.column(1))
+                part = idf[word] * (tf * (params.k1 + 1) / (tf + params.k1 * (1 - params.b + params.b * dl[doc] / avgdl)) + params.delta)
+                fan = first[word + 1] - first[word]
+                step = max(1, CELLS // max(1, len(ids)))
+                for at in range(0, b.num_rows, step):
+                    here = slice(*np.searchsorted(doc, (at, at + step)))
+                    docs, cut = min(step, b.num_rows - at), fan[here]
+                    s, hit = np.zeros(docs * len(ids)), np.zeros(docs * len(ids), bool)
+                    # of the matches so many at once
+                    ends = np.cumsum(cut)
+                    lo = 0
+                    while lo < cut.size:
+                        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, "right")))
+                        own = cut[lo:hi]
+                        turn = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                        to = np.repeat((doc[here][lo:hi] - at) * len(ids), own) + of[np.repeat(first[word[here][lo:hi]], own) + turn]
+                        s += np.bincount(to, np.repeat(part[here][lo:hi], own), minlength=s.size)
+                        hit[to] = True
+                        lo = hi
+                    s = np.where(hit, np.round(s, DIGITS), -np.inf).reshape(docs, -1).T
+                    top.offer(every, np.ascontiguousarray(s), order[at : at + docs])
+        at, doc, best = top.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(doc), pa.array(best)], names=["query_id", "ord", "score"])
+
+    if not asked:
+        return ranked(spark.createDataFrame([], "query_id bigint, ord bigint, score double"), k, ["query_id"])
+    return ranked(rows.mapInArrow(score, "query_id long, ord long, score double"), k, ["query_id"])
+
+
 def _filtered(index: Index, hits: DataFrame, where) -> DataFrame:
     return hits.join(index.metadata.where(passes(where, F.col("meta"))).select("ord"), "ord", "left_semi")
 
@@ -251,8 +421,13 @@ def bool_search(index: Index, query: str, k: int = 10, params: Bm25 | None = Non
     return ranked(scored.where(wanted & (F.col("n_not") == 0)).select("ord", "score"), k)
 
 
-def _expanded(index: Index, matching: DataFrame, k: int, params: Bm25 | None) -> DataFrame:
-    """The vocabulary is looked through once: up to EXPANDED matches are held by the driver, more are joined as a table."""
+def _expanded(index: Index, match: Callable[[Column], Column], k: int, params: Bm25 | None) -> DataFrame:
+    """Every term that matches counts once.  Of an index by term the vocabulary is looked through once: up to EXPANDED matches
+    are held by the driver, more are joined as a table.  Otherwise they are found within the rows of tokens."""
+    if not index.by_term:
+        rows = _scored(index, index.matching(match), params or Bm25())
+        return ranked(rows.groupBy("ord").agg(F.round(F.sum("contribution"), DIGITS).alias("score")), k)
+    matching = index.term_stats().where(match(F.col("term")))
     some = [r.term for r in matching.select("term").distinct().limit(EXPANDED + 1).collect()]
     if len(some) <= EXPANDED:
         terms = Terms.of(index.tokens.sparkSession, [(0, t) for t in some])
@@ -264,16 +439,19 @@ def _expanded(index: Index, matching: DataFrame, k: int, params: Bm25 | None) ->
 def search_fuzzy(index: Index, query: str, max_edit: int = 1, k: int = 10, params: Bm25 | None = None) -> DataFrame:
     """Every term of the vocabulary within so many byte edits of a query term counts once."""
     terms = sorted({t for t, _ in index.analyzer(query)})
-    vocabulary = index.term_stats()
-    near = F.lit(False)
-    for t in terms:
-        near = near | edit_distance_within(F.col("term"), F.lit(t), max_edit)
-    return _expanded(index, vocabulary.where(near), k, params)
+
+    def near(term: Column) -> Column:
+        out = F.lit(False)
+        for t in terms:
+            out = out | edit_distance_within(term, F.lit(t), max_edit)
+        return out
+
+    return _expanded(index, near, k, params)
 
 
 def search_wildcard(index: Index, pattern: str, k: int = 10, params: Bm25 | None = None) -> DataFrame:
     """Every term of the vocabulary that matches the pattern as it stands counts once."""
-    return _expanded(index, index.term_stats().where(wildcard_match(F.col("term"), pattern)), k, params)
+    return _expanded(index, lambda term: wildcard_match(term, pattern), k, params)
 
 
 def explain(index: Index, query: str, ord_: int, params: Bm25 | None = None) -> DataFrame:

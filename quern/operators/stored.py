@@ -9,14 +9,11 @@ from __future__ import annotations
 import json
 import uuid
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import Analyzer
-from quern.operators.lexical import DIGITS, Bm25, Index, Terms, local, query_terms, ranked
+from quern.operators.lexical import DIGITS, Bm25, Index, Terms, gathered, local, query_terms, ranked
 
 #: Postings are divided among folders by a hash of the term, one for so many words of text, up to BUCKETS; documents of
 #: a block, the unit of pruning; blocks that are scored first to find how good a hit has to be.
@@ -60,31 +57,11 @@ def _bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _gathered(tokens: DataFrame) -> DataFrame:
-    """(term, ord, dl, tf, positions) of (ord, tokens, dl), each document within its row, so without a shuffle."""
-
-    def work(it):
-        for b in it:
-            flat = b.column(1).flatten()
-            size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(b.column(1)), 0))
-            if not len(flat):
-                continue
-            word = pa.compute.struct_field(flat, 0).dictionary_encode()
-            code, pos, doc = np.asarray(word.indices), np.asarray(pa.compute.struct_field(flat, 1)), np.repeat(np.arange(size.size), size)
-            order = np.lexsort((pos, code, doc))
-            code, pos, doc = code[order], pos[order], doc[order]
-            head = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
-            ends = np.append(head, code.size).astype(np.int32)
-            of = pa.array(doc[head])
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([word.dictionary.take(pa.array(code[head])), b.column(0).take(of), b.column(2).take(of), pa.array(np.diff(ends).astype(np.int64)), lists], names=["term", "ord", "dl", "tf", "positions"])
-
-    return tokens.select(F.col("ord").cast("bigint"), "tokens", F.col("dl").cast("bigint")).mapInArrow(work, "term string, ord long, dl long, tf long, positions array<int>")
-
-
 class StoredIndex(Index):
     """An index that reads its postings by term; all searches of `lexical` take it in place of a derived one."""
 
+    by_term = True
+
     def __init__(self, spark: SparkSession, path: str, analyzer: Analyzer):
         self.spark, self.path, self.analyzer = spark, path, analyzer
         docs = spark.read.parquet(f"{path}/docs")
@@ -105,7 +82,7 @@ class StoredIndex(Index):
         docs.write.parquet(f"{where}/docs")
         n, total = spark.read.parquet(f"{where}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         buckets = min(BUCKETS, 1 + total // BUCKET_WORDS)
-        postings = _gathered(index.tokens)
+        postings = gathered(index.tokens)
         placed = postings.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("block", F.floor(F.col("ord") / BLOCK))
         # salted by block, so that a word of every document is not one task's
         placed.repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "term", "ord").write.partitionBy("bucket").parquet(f"{where}/postings")
