@@ -135,7 +135,8 @@ def _whitespace(a: Analyzer, text: Column) -> Column:
 
 
 def _ngram(a: Analyzer, text: Column) -> Column:
-    runs = F.regexp_extract_all(fold(text, a.full_fold), F.lit(f"([{CJK}]+|[^{SPACE}{CJK}{CJK_PUNCTUATION}{PUNCTUATION}]+)"), F.lit(1))
+    folded = fold(text, a.full_fold)
+    runs = F.regexp_extract_all(folded, F.lit(f"([{CJK}]+|[^{SPACE}{CJK}{CJK_PUNCTUATION}{PUNCTUATION}]+)"), F.lit(1))
 
     def grams(run: Column) -> Column:
         size = F.length(run)
@@ -143,7 +144,9 @@ def _ngram(a: Analyzer, text: Column) -> Column:
         return F.flatten(F.array(*[each(n) for n in range(a.min_n, a.max_n + 1)]))
 
     terms = lambda run: F.when(run.rlike(f"^[{CJK}]"), grams(run)).otherwise(F.array(run))
-    tokens = F.flatten(F.transform(runs, lambda run, i: F.transform(terms(run), lambda t: F.struct(t.alias("term"), i.alias("pos")))))
+    several = F.flatten(F.transform(runs, lambda run, i: F.transform(terms(run), lambda t: F.struct(t.alias("term"), i.alias("pos")))))
+    # of a text without CJK characters every run is a term
+    tokens = F.when(folded.rlike(f"[{CJK}]"), several).otherwise(F.transform(runs, lambda run, i: F.struct(run.alias("term"), i.alias("pos"))))
     return _drop(a, tokens)
 
 
