@@ -124,8 +124,7 @@ def _drop(a: Analyzer, tokens: Column) -> Column:
     if a.min_token_length > 1:
         tokens = F.filter(tokens, lambda t: F.length(t.term) >= a.min_token_length)
     if a.stop_words:
-        stop = F.array(*[F.lit(w) for w in a.stop_words])
-        tokens = F.filter(tokens, lambda t: ~F.array_contains(stop, t.term))
+        tokens = F.filter(tokens, lambda t: ~t.term.isin(list(a.stop_words)))  # a set, looked up once a term
     return tokens
 
 
